@@ -1,0 +1,6 @@
+"""All queries of the library's own operators by name, and DuckDB SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
