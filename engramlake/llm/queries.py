@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import licenses
+from engramlake.llm import exact_dedup, licenses, packing, records
 from engramlake.session import table
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels and places of base phrases for every document."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan}
-ORACLE = {"op1_license_scan": licenses.oracle()}
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as framed records in order of doc_id and read back."""
+    return records.read(records.write(table(spark, sf_dir, "documents"), VOCABULARY)).drop("shard")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of equal texts and the one that stays."""
+    return exact_dedup.decide(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 4096."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op4_exact_dedup, op10_best_fit_packing)}
+ORACLE = {"op1_license_scan": licenses.oracle(), "op4_exact_dedup": exact_dedup.ORACLE}
