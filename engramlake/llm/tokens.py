@@ -1,15 +1,30 @@
 """Token ids by the tokenizers library, one white-space word at a time.
 
-The vocabulary's rules never join characters across a space, so ids of a text are the ids of its words in turn; each
-word is encoded by the library once for each worker and then looked up.
+The vocabulary's rules never join characters across a space, so ids of a text are the ids of its words in turn. A word
+is encoded by the library and remembered. Most words are letters with punctuation behind them, which the rules always
+part: such letters, in lower case, and such punctuation are remembered by themselves, so that Word, word. and WORD, are
+encoded once.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 from functools import lru_cache
 
-#: Words that a worker remembers at most, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+#: Words and parts of words that a worker remembers at most, and the longest word that it remembers.
+WORDS, PARTS, LONGEST = 700_000, 700_000, 48
+#: Letters that are composed, have one lower-case letter each and stand in the text's own encoding; then ASCII
+#: punctuation, without what contractions and special tokens are made of.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{}~]*)")
+
+
+@lru_cache(maxsize=1)
+def _characters() -> dict[int, int]:
+    """By byte: the character that stands for it in a byte-level vocabulary: itself where it prints, else from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + k for k, b in enumerate(others)}
 
 
 class WordIds(dict):
@@ -19,17 +34,32 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {"": b""}
 
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        match = SIMPLE.fullmatch(word)
+        ids = self.part(match[1].lower()) + self.part(match[2]) if match else self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.packed([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_characters()))])
+            if len(part) <= LONGEST:
+                if len(self.parts) >= PARTS:
+                    self.parts = {"": b""}
+                self.parts[part] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))) if text else b""
 
