@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import exact_dedup, licenses, packing, records
+from engramlake.llm import exact_dedup, licenses, mixing, packing, quality, records, simhash
 from engramlake.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,15 +21,30 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(table(spark, sf_dir, "documents"), VOCABULARY)).drop("shard")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix by source takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's group of equal texts and the one that stays."""
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and their components."""
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 4096."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op4_exact_dedup, op10_best_fit_packing)}
-ORACLE = {"op1_license_scan": licenses.oracle(), "op4_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_mixing, op4_exact_dedup, op5_simhash, op6_quality, op10_best_fit_packing)}
+ORACLE = {"op1_license_scan": licenses.oracle(), "op3_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
