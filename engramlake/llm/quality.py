@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 WORD_BITS, BINS, RANK, BATCH, RATE, DECAY = 14, 12, 8, 256, 0.1, 1e-5
 #: Passes over the rows, and more of them where that makes fewer batches than STEPS; how much a bad text weighs.
 EPOCHS, STEPS, BAD = 5, 240, 2.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import exact_dedup, licenses, mixing, packing, quality, records, simhash
+from engramlake.llm import exact_dedup, html_text, licenses, mixing, packing, phrases, quality, records, simhash, warc
 from engramlake.session import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -41,10 +41,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, normalised and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return phrases.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 4096."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_mixing, op4_exact_dedup, op5_simhash, op6_quality, op10_best_fit_packing)}
-ORACLE = {"op1_license_scan": licenses.oracle(), "op3_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_mixing, op4_exact_dedup, op5_simhash, op6_quality, op7_warc, op8_html_text, op9_phrase_fingerprints, op10_best_fit_packing)}
+ORACLE = {"op1_license_scan": licenses.oracle(), "op3_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
