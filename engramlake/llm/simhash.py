@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from engramlake.operators.components import connected_components
 from engramlake.session import partitions, stage
@@ -242,3 +242,112 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     found = components(docs, shingle, radius)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+# --- near copies by similarity -----------------------------------------------------------------------------------
+
+#: For similarities well below equality, where whole-text fingerprints differ in too many bits for any exact search.
+NEAR_SHINGLE, SIMILARITY, STRATA, STRATUM = 5, 0.8, 12, 4
+
+
+def strata(digests: bytes, lanes):
+    """Keys of a text's strata. Distinct shingles fall into classes by their hash, about STRATUM in each; the first
+    STRATA classes are strata, and a key holds a stratum's fingerprint, its class and the number of classes. Of two
+    texts as similar as SIMILARITY a stratum is the same with probability SIMILARITY**STRATUM or so. The number of
+    classes goes by powers of two of the number of shingles; a text has keys for that of texts up to a quarter longer."""
+    import numpy as np
+
+    h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+    n, keys = len(h), []
+    for level in sorted({int(n).bit_length(), int(n / SIMILARITY).bit_length()}) if n else ():
+        classes = np.uint64(max(STRATA, (1 << (level - 1)) // STRATUM))
+        of = (h >> np.uint64(20)) % classes
+        own = np.flatnonzero(of < STRATA)
+        own = own[np.argsort(of[own], kind="stable")]
+        if not len(own):
+            continue
+        c, starts, sizes = np.unique(of[own], return_index=True, return_counts=True)
+        votes = np.zeros((len(c), 64), np.int64)
+        d = lanes[h[own].astype(">u8").view(np.uint8).reshape(-1, 8)]
+        for k, (s, size) in enumerate(zip(starts, sizes)) if sizes.max() > 255 else ():
+            votes[k] = sum(x.sum(0).view(np.uint8).astype(np.int64) for x in np.split(d[s : s + size], range(255, size, 255)))
+        if sizes.max() <= 255:
+            votes = np.add.reduceat(d, starts, axis=0).view(np.uint8).reshape(len(c), 64)
+        prints = np.packbits(votes > sizes[:, None] // 2, axis=1).view(">u8")[:, 0].astype(np.uint64)
+        keys.append((prints ^ (c + np.uint64(STRATA) * classes) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93))
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+
+
+def _prints_and_strata(batches: Iterable) -> Iterator:
+    """mapInArrow: (row, text) to (row, fingerprint, keys)."""
+    import pyarrow as pa
+
+    lanes = _lanes()
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            digests = [shingle_digests(t, NEAR_SHINGLE) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"row": part.column(0), "fingerprint": pa.array([majority(d, lanes) for d in digests], pa.int64()), "keys": pa.array([strata(d, lanes) for d in digests], pa.list_(pa.int64()))})
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of the sets of word shingles; of two texts without words, 1."""
+    import numpy as np
+
+    x, y = (set(np.frombuffer(shingle_digests(t, NEAR_SHINGLE), ">u8").tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _verified(batches: Iterable) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, 200):
+            part = batch.slice(low, 200)
+            keep = [similarity(a, b) >= SIMILARITY for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_pydict({"a": part.column(0).take(at), "b": part.column(1).take(at)})
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(row, component) of the rows of docs that have near copies: NEAR_SHINGLE words, SIMILARITY or more, linked.
+
+    Candidates are rows of linked whole-text fingerprints (by the Gray-order index) and rows with a stratum in common.
+    In a group of candidates each row is held against the least row and the one before it, never all against all; a
+    row has up to 2 * STRATA groups, with other neighbours in each. Each candidate pair is verified on the whole texts.
+    docs: (row, text) from a written table, row unique."""
+    found = stage(docs.select("row", "text").mapInArrow(_prints_and_strata, "row long, fingerprint long, keys array<long>"), "near-prints")
+    values = stage(found.groupBy("fingerprint").agg(F.min("row").alias("least")), "near-values")
+    both = links(values.select("fingerprint"), RADIUS)
+    for side in "ab":
+        named = values.select(F.col("fingerprint").alias(side), F.col("least").alias(f"row_{side}"))
+        both = both.join(named, side)
+    both = both.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    same = found.join(values, "fingerprint").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    # Pairs of a group's neighbours and with its least row; a group is spread over tasks by ranges of its rows.
+    rows = stage(found.select(F.explode("keys").alias("key"), "row"), "near-strata")
+    groups = rows.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
+    many = stage(rows.join(groups.select("key", "least"), "key"), "near-groups")
+    star = many.select(F.col("row").alias("a"), F.col("least").alias("b"))
+    part = F.pmod(F.xxhash64("row"), F.lit(64))  # so that no group's rows stand in one task's order
+    chain = many.select("row", F.lag("row").over(W.partitionBy("key", part).orderBy("row")).alias("b")).where("b is not null").withColumnRenamed("row", "a")
+    pairs = both.unionByName(same).unionByName(star).unionByName(chain).where("a <> b")
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = stage(docs.select("row", "text").join(wanted, "row", "left_semi"), "near-texts")
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")), side)
+    good = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+    return connected_components(good).withColumnRenamed("node", "row")
+
+
+def near_deduplicate(docs: DataFrame) -> DataFrame:
+    """Documents without those that are near copies of an earlier row linked to them: the row with the least doc_id of
+    each component stays, of equal ones the first. docs must come from a written table."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    parts = stage(near_components(numbered.select(F.col("_row").alias("row"), "text")), "near-components")
+    of = parts.join(numbered.select(F.col("_row").alias("row"), "doc_id"), "row")
+    stays = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    goes = of.select("component", "row").join(stays, "component").where("row <> first.row").select(F.col("row").alias("_row"))
+    return numbered.join(goes, "_row", "left_anti").select(*docs.columns)
