@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 WORD_BITS, BINS, RANK, BATCH, RATE, DECAY = 14, 12, 8, 256, 0.1, 1e-5
 #: Passes over the rows, and more of them where that makes fewer batches than STEPS; how much a bad text weighs.
 EPOCHS, STEPS, BAD = 5, 240, 2.0
@@ -88,7 +88,7 @@ def _made(batches: Iterable) -> Iterator:
         for low in range(0, batch.num_rows, 500):
             part = batch.slice(low, 500)
             rows = [features(t) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"places": pa.array([p for p, _ in rows], pa.list_(pa.int32())), "values": pa.array([v for _, v in rows], pa.list_(pa.float32())), "label": part.column(1)})
+            yield pa.RecordBatch.from_pydict({"places": pa.array([p.tobytes() for p, _ in rows], pa.binary()), "values": pa.array([v.tobytes() for _, v in rows], pa.binary()), "label": part.column(1)})
 
 
 # --- the machine -------------------------------------------------------------------------------------------------
@@ -160,11 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Fac
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
     made = rows.select("doc_id", "text", F.col("_label").cast("int").alias("label"))
     made = made.dropDuplicates(["doc_id"]) if made.count() > train_rows else made
-    got = made.select("text", "label").mapInArrow(_made, "places array<int>, values array<float>, label int").toPandas()
+    got = made.select("text", "label").mapInArrow(_made, "places binary, values binary, label int").toPandas()
     if not len(got):
         return None
     # In an order of its own, so that the model doesn't hang on how rows came.
-    rows = [(np.array(p, np.int32), np.array(v, np.float32)) for p, v in zip(got["places"], got["values"])]
+    rows = [(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for p, v in zip(got["places"], got["values"])]
     order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(rows[i][0].tobytes() + rows[i][1].tobytes()), got["label"][i]))
     return FactorisationMachine().fit([rows[i] for i in order], got["label"].to_numpy()[order])
 
