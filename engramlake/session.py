@@ -58,3 +58,11 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def file_name_of(path, root: str):
+    """A file's path below root, of a column with its URI."""
+    from pyspark.sql import functions as F
+
+    base = root.removeprefix("file://").rstrip("/")
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, "\\+", "%2B")), f"^(?:[a-z0-9]+:(?://[^/]*)?)?/*{base}/", "")
