@@ -14,7 +14,7 @@ SKIPPED = ("channel", "message_id", "sender_id")
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """file, line (from 1), value of all JSONL files below root."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
     df = df.select(F.concat(F.lit("/"), file_name_of(F.col("_metadata.file_path"), root)).alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
     return df.select("file", (F.col("line") + 1).alias("line"), "value").where("trim(value) <> ''")
 
