@@ -84,12 +84,12 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, batch: str | None
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, with all their columns: one row of each group."""
     decided = stage(decide(docs, index), "digest-decisions")
-    kept = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    own = docs.withColumn("_own", digest(F.col("text")))
-    rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    kept = decided.where("kept").select(F.col("doc_id").alias("__el_id"), F.col("text_sha256").alias("__el_digest")).distinct()
+    own = docs.withColumn("__el_own", digest(F.col("text")))
+    rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__el_id")) & (F.col("__el_own") == F.col("__el_digest")), "left_semi")
     if decided.where("kept").count() > kept.count():  # rows that repeat the text and the id of one that stays
-        rows = rows.dropDuplicates(["doc_id", "_own"])
-    return rows.drop("_own")
+        rows = rows.dropDuplicates(["doc_id", "__el_own"])
+    return rows.drop("__el_own")
 
 
 ORACLE = """

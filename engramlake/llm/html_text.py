@@ -3,7 +3,8 @@
 The parser's events make lines: text between tags that break the flow, with the tags that stood in it. A line's ratio
 is its text's length by its number of tags. Ratios are smoothed with a Gaussian over neighbouring lines, so that short
 lines among long ones count as content and single long ones among menus don't; lines beyond a threshold (a share of
-the ratios' standard deviation) are clustered, and the sections that hold a cluster are the content, whole. Elements
+the ratios' standard deviation) are clustered, and the sections that hold a cluster with a line that is beyond it by
+itself are the content, whole. Elements
 that are never content by their name or role (menus, page headers and footers, sidebars, forms, scripts, hidden ones)
 and those whose class or id says so (adverts, notices, comments, related links) make no lines. Where a page names its
 article or main part, only lines in it are candidates.
@@ -145,7 +146,8 @@ def main_text(html: str | None) -> str:
 
     ratios = [len(x[0]) / max(1, x[1]) for x in lines]
     soft = smoothed(ratios)
-    content = {x[2] for x, s in zip(lines, soft) if s >= THRESHOLD * np.std(ratios)}
+    least = THRESHOLD * np.std(ratios)
+    content = {x[2] for x, r, s in zip(lines, ratios, soft) if r >= least and s >= least}
     return " ".join(x[0] for x in lines if x[2] in content)
 
 

@@ -116,11 +116,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, block
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Documents as often as the mix takes them: whole rounds, and once more where it takes half of the rest or more.
     docs must come from a written table."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    m = mix(numbered, keep=("_row",), **options)
+    numbered = docs.withColumn("__el_row", F.monotonically_increasing_id())
+    m = mix(numbered, keep=("__el_row",), **options)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = m.select(F.col("_row"), times.alias("_times")).where("_times > 0")
-    return numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = m.select(F.col("__el_row"), times.alias("__el_times")).where("__el_times > 0")
+    return numbered.join(times, "__el_row").withColumn("__el_copy", F.explode(F.sequence(F.lit(1), F.col("__el_times")))).select(*docs.columns)
 
 
 ORACLE = f"""

@@ -169,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Fac
     return FactorisationMachine().fit([rows[i] for i in order], got["label"].to_numpy()[order])
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The columns in keep, held_out, score and predicted (1 from THRESHOLD on)."""
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), train_rows: int = TRAIN_ROWS, named: bool = True) -> DataFrame:
+    """The columns in keep, held_out, score and predicted (1 from THRESHOLD on); not named: the first alone, of rows
+    that are predicted to be good."""
     model = fit(docs, labels, train_rows)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # its size is fixed: WIDTH * (RANK + 1) numbers
@@ -185,13 +186,18 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
                 part = batch.slice(low, 500)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 scores = machine.scores([features(t) for t in texts]) if machine and texts else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], "_score"])
 
-    rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    taken = [f"_{k}" for k in range(len(keep))]  # names of their own, whatever the columns are called
+    rows = docs.select(*(F.col(f"`{c}`").alias(t) for c, t in zip(keep, taken)), held_out(F.col("doc_id")).alias("_held"), F.col("text").alias("_text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(run, f"{schema}, _score double")
+    if not named:
+        return out.where(F.col("_score") >= THRESHOLD).select(*(F.col(t).alias(c) for c, t in zip(keep, taken)))
+    predicted = (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
+    return out.select(*(F.col(t).alias(c) for c, t in zip(keep, taken)), F.col("_held").alias("held_out"), F.col("_score").alias("score"), predicted)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents, with all their columns, that are predicted to be good."""
-    return score(docs, labels, tuple(docs.columns), train_rows).where("predicted = 1").select(*docs.columns)
+    return score(docs, labels, tuple(docs.columns), train_rows, named=False)

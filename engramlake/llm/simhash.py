@@ -240,8 +240,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents that stay, with all their columns: of each component the rows with its least doc_id."""
     found = components(docs, shingle, radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__el_id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__el_id")), "left_semi")
 
 
 # --- near copies by similarity -----------------------------------------------------------------------------------
@@ -345,9 +345,9 @@ def near_components(docs: DataFrame) -> DataFrame:
 def near_deduplicate(docs: DataFrame) -> DataFrame:
     """Documents without those that are near copies of an earlier row linked to them: the row with the least doc_id of
     each component stays, of equal ones the first. docs must come from a written table."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    parts = stage(near_components(numbered.select(F.col("_row").alias("row"), "text")), "near-components")
-    of = parts.join(numbered.select(F.col("_row").alias("row"), "doc_id"), "row")
+    numbered = docs.withColumn("__el_row", F.monotonically_increasing_id())
+    parts = stage(near_components(numbered.select(F.col("__el_row").alias("row"), "text")), "near-components")
+    of = parts.join(numbered.select(F.col("__el_row").alias("row"), "doc_id"), "row")
     stays = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    goes = of.select("component", "row").join(stays, "component").where("row <> first.row").select(F.col("row").alias("_row"))
-    return numbered.join(goes, "_row", "left_anti").select(*docs.columns)
+    goes = of.select("component", "row").join(stays, "component").where("row <> first.row").select(F.col("row").alias("__el_row"))
+    return numbered.join(goes, "__el_row", "left_anti").select(*docs.columns)
