@@ -108,8 +108,10 @@ def reconcile(candidates: DataFrame, chunks: DataFrame, high: float = HIGH, mid:
     Candidates are the small side: each chunk is held against all of them where it lies, and the best of each are kept
     by partial aggregation. Without a vector or with nothing to compare, a candidate is new."""
     c = candidates.select("id", F.col("vector").alias("_v"))
-    pairs = chunks.where("vector is not null").crossJoin(c.where("_v is not null"))
-    pairs = pairs.withColumn("score", F.round(vector.cosine(F.col("vector"), F.col("_v")), 6)).where("score is not null")
+    unit = lambda df, name: df.where(f"{name} is not null").withColumn(name, vector.normalised(F.col(name)))
+    pairs = unit(chunks.select("ord", "rel", "text", "vector"), "vector").crossJoin(unit(c, "_v"))
+    score = F.round(F.when(F.size("vector") == F.size("_v"), vector.dot(F.col("vector"), F.col("_v"))), 6)
+    pairs = pairs.withColumn("score", score).where("score is not null and not isnan(score)")
     best = pairs.groupBy("id").agg(F.max("score").alias("top_score"))
     hit = pairs.where(F.col("score") >= mid).withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "ord"))).where(F.col("_n") <= top_k)
     hits = hit.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "rel", "score", T.snippet(F.col("text")).alias("snippet")))), lambda x: F.struct(x["rel"].alias("path"), x["score"].alias("score"), x["snippet"].alias("snippet"))).alias("matches"))
