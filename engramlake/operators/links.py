@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from engramlake.functions import text as T, vector
+from engramlake.functions import text as T
 from engramlake.operators import ranking
 
 FLOOR, CEIL, WINDOW_DAYS, PER_NODE = 0.35, 0.85, 14.0, 8
@@ -102,20 +102,70 @@ def near_duplicates(chunks: DataFrame, mid: float = MID, high: float = HIGH, top
     return p.select("a", "b", "sim", F.when(F.col("sim") >= high, "DUP").otherwise("SIM").alias("label")).orderBy(F.desc("sim"), "a", "b").limit(top)
 
 
+def search(queries: DataFrame, rows: DataFrame, k: int | None = None, least: float | None = None, below: float | None = None, digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """(query, ord, sim, score) of each query's best k rows, or of all, with least <= sim < below where given.
+
+    queries: id, vector and optionally rel (rows of the same rel are left out); rows: ord, vector and optionally rel and
+    weight. score is sim times weight, 1 without; ties go by ord. Both sides fall into blocks, each pair of blocks is a
+    matrix product in one task, and k rows of a query and pair go on. Rows without a vector, or of another size than
+    the block's queries, are no partners, nor are scores that aren't finite."""
+    many = lambda df: max(1, -(-df.count() // block))
+    nq, nr = many(queries), many(rows)
+    have = lambda df, c, kind, default=None: F.col(c) if c in df.columns else F.lit(default).cast(kind)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    side = lambda df, c: df.where("vector is not null").select(F.col(c), F.col("vector").cast("array<double>").alias("vector"), have(df, "rel", "string").alias("rel"), have(df, "weight", "double", 1.0).alias("weight"))
+    q = side(queries, "id").withColumn("i", part("id", nq)).withColumn("j", each(nr))
+    r = side(rows, "ord").withColumn("j", part("ord", nr)).withColumn("i", each(nq))
+    kinds = dict(q.dtypes)["id"], dict(r.dtypes)["ord"]
+
+    def product(x, y):
+        import numpy as np
+        import pandas as pd
+
+        found = []
+        unit = lambda z: (m := np.array(z["vector"].tolist(), float).reshape(len(z), -1)) / np.where((n := np.linalg.norm(m, axis=1)) == 0, 1, n)[:, None]  # noqa: E731, F841
+        by_size = {n: g.reset_index(drop=True) for n, g in y.sort_values("ord").groupby(y["vector"].map(len))} if len(y) else {}
+        for size, a in x.groupby(x["vector"].map(len)) if len(x) else ():
+            if size not in by_size:
+                continue
+            b = by_size[size]
+            with np.errstate(all="ignore"):
+                sims = np.round(unit(a) @ unit(b).T, digits)
+            for one, rel, sim in zip(a["id"], a["rel"], sims):
+                ok = np.isfinite(sim)
+                ok &= sim >= least if least is not None else True
+                ok &= sim < below if below is not None else True
+                ok &= (b["rel"] != rel).to_numpy() if rel is not None else True
+                at = np.nonzero(ok)[0]
+                score = np.round(sim[at] * b["weight"].to_numpy(float)[at], digits)
+                if k is not None and len(at) > k:
+                    best = np.argsort(-score, kind="stable")[:k]
+                    at, score = at[best], score[best]
+                found.append((np.full(len(at), one, object), b["ord"].to_numpy()[at], sim[at], score))
+        columns = zip(*found) if found else [[np.array([], object)]] * 4
+        return pd.DataFrame({name: np.concatenate(list(c)) for name, c in zip(("query", "ord", "sim", "score"), columns)})
+
+    out = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(product, f"query {kinds[0]}, ord {kinds[1]}, sim double, score double")
+    if k is None:
+        return out
+    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "ord"))
+    return out.withColumn("_n", best).where(F.col("_n") <= k).drop("_n")
+
+
 def reconcile(candidates: DataFrame, chunks: DataFrame, high: float = HIGH, mid: float = MID, top_k: int = 5) -> DataFrame:
     """id, action (skip, review or new), top_score, matches (up to top_k of mid or more) for candidates (id, vector).
 
-    Candidates are the small side: each chunk is held against all of them where it lies, and the best of each are kept
-    by partial aggregation. Without a vector or with nothing to compare, a candidate is new."""
-    c = candidates.select("id", F.col("vector").alias("_v"))
-    unit = lambda df, name: df.where(f"{name} is not null").withColumn(name, vector.normalised(F.col(name)))
-    pairs = unit(chunks.select("ord", "rel", "text", "vector"), "vector").crossJoin(unit(c, "_v"))
-    score = F.round(F.when(F.size("vector") == F.size("_v"), vector.dot(F.col("vector"), F.col("_v"))), 6)
-    pairs = pairs.withColumn("score", score).where("score is not null and not isnan(score)")
-    best = pairs.groupBy("id").agg(F.max("score").alias("top_score"))
-    hit = pairs.where(F.col("score") >= mid).withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "ord"))).where(F.col("_n") <= top_k)
-    hits = hit.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "rel", "score", T.snippet(F.col("text")).alias("snippet")))), lambda x: F.struct(x["rel"].alias("path"), x["score"].alias("score"), x["snippet"].alias("snippet"))).alias("matches"))
-    out = c.select("id").join(best, "id", "left").join(hits, "id", "left")
+    A candidate with a rel is an edit of that note and isn't held against the note's own chunks. Without a vector or
+    with nothing to compare, a candidate is new."""
+    hits = search(candidates, chunks, max(top_k, 1))
+    best = hits.groupBy(F.col("query").alias("id")).agg(F.max("score").alias("top_score"))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "ord"))
+    hit = hits.where(F.col("score") >= mid).withColumn("_n", place).where(F.col("_n") <= top_k).join(chunks.select("ord", "rel", "text"), "ord")
+    shown = F.struct("_n", "rel", "score", T.snippet(F.col("text")).alias("snippet"))
+    bare = lambda x: F.struct(x["rel"].alias("path"), x["score"].alias("score"), x["snippet"].alias("snippet"))
+    lists = hit.groupBy(F.col("query").alias("id")).agg(F.transform(F.array_sort(F.collect_list(shown)), bare).alias("matches"))
+    out = candidates.select("id").join(best, "id", "left").join(lists, "id", "left")
     action = F.when(F.col("top_score") >= high, "skip").when(F.col("top_score") >= mid, "review").otherwise("new")
     none = F.array().cast("array<struct<path: string, score: double, snippet: string>>")
     return out.select("id", action.alias("action"), "top_score", F.coalesce("matches", none).alias("matches"))
@@ -131,7 +181,7 @@ def connect(chunks: DataFrame, seeds: DataFrame, k: int = 8, penalty: float = 0.
     """Diverse cross-links of seeds (seed, seed_rel, seed_vector): seed, id, rel, redundancy, mmr, pos.
 
     Chunks within the band of similarity, the best one a file, chosen by maximal marginal relevance."""
-    p = chunks.where("vector is not null").crossJoin(seeds).where(~F.col("rel").eqNullSafe(F.col("seed_rel")))
-    p = p.withColumn("sim", F.round(vector.cosine(F.col("vector"), F.col("seed_vector")), 6)).where(F.col("sim").between(floor, ceil) & (F.col("sim") < ceil))
-    best = p.withColumn("_n", F.row_number().over(W.partitionBy("seed", "rel").orderBy(F.desc("sim"), "ord"))).where("_n = 1")
-    return ranking.mmr(best.select("seed", F.col("ord").alias("id"), F.col("sim").alias("rel"), "vector"), k, penalty)
+    q = seeds.select(F.col("seed").alias("id"), F.col("seed_rel").alias("rel"), F.col("seed_vector").alias("vector"))
+    p = search(q, chunks, least=floor, below=ceil).join(chunks.select("ord", "rel", "vector"), "ord")
+    best = p.withColumn("_n", F.row_number().over(W.partitionBy("query", "rel").orderBy(F.desc("sim"), "ord"))).where("_n = 1")
+    return ranking.mmr(best.select(F.col("query").alias("seed"), F.col("ord").alias("id"), F.col("sim").alias("rel"), "vector"), k, penalty)

@@ -88,14 +88,14 @@ def capture(messages: DataFrame, taken_ms: int, now_ms: int, last: int = 400, ch
 
 
 def save_notes(candidates: DataFrame, stored: DataFrame, chunks: DataFrame, **options) -> DataFrame:
-    """What to write of candidates (id, type, text, vector): redacted, not stored yet (path), not near duplicates of
+    """What to write of candidates (id, type, text, vector; rel where they edit a note): redacted, not stored yet (path), not near duplicates of
     chunks; similar ones carry a review flag."""
     kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("note"))
     c = candidates.withColumn("text", T.redact(F.col("text"))["text"]).withColumn("type", kind)
     name = F.concat(F.lit("memory/"), T.store_of(F.col("type")), F.lit("/"), T.slug(T.title(F.col("text"))), F.lit("-"), T.content_hash(F.col("type"), F.col("text")), F.lit(".md"))
     c = c.withColumn("path", name).join(stored.select("path"), "path", "left_anti")
     c = c.withColumn("_n", F.row_number().over(W.partitionBy("path").orderBy("id"))).where("_n = 1").drop("_n")
-    v = links.reconcile(c.select("id", "vector"), chunks, **options)
+    v = links.reconcile(c.select("id", "vector", *(["rel"] if "rel" in c.columns else [])), chunks, **options)
     return c.join(v, "id").where("action <> 'skip'").select("id", "path", "type", "text", (F.col("action") == "review").alias("review"), "top_score")
 
 

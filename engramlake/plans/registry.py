@@ -71,18 +71,17 @@ def x05(spark, sf):
     return views.entries(spark, sf).select("rel", "access", F.round(D.decay_factor(F.col("access"), F.col("last_access_ms"), F.col("importance"), NOW), 6).alias("factor"))
 
 
-@query("x10_reconcile", _with(CHUNK, f"p as (select c.ord as id, x.ord, x.rel, round(list_cosine_similarity(c.vector, x.vector), 6) as s from chunk c join chunk x on c.ord % 50 = 7 and x.ord % 50 <> 7)", f"r as (select *, row_number() over (partition by id order by s desc, ord) as n from p where s >= {MID})")
+@query("x10_reconcile", _with(CHUNK, f"p as (select c.ord as id, x.ord, x.rel, round(list_cosine_similarity(c.vector, x.vector), 6) as s from chunk c join chunk x on c.ord % 100 = 0 and x.rel <> c.rel)", f"r as (select *, row_number() over (partition by id order by s desc, ord) as n from p where s >= {MID})")
        + f"select id, case when max(p.s) >= {HIGH} then 'skip' when max(p.s) >= {MID} then 'review' else 'new' end as action, max(p.s) as top_score, coalesce((select string_agg(rel, ',' order by n) from r where r.id = p.id and n <= 5), '') as paths from p group by id")
 def x10(spark, sf):
     c = views.chunk(spark, sf)
-    r = links.reconcile(c.where("ord % 50 = 7").select(F.col("ord").alias("id"), "vector"), c.where("ord % 50 <> 7"), HIGH, MID)
+    r = links.reconcile(c.where("ord % 100 = 0").select(F.col("ord").alias("id"), "rel", "vector"), c, HIGH, MID)
     return r.select("id", "action", "top_score", F.array_join(F.transform("matches", lambda m: m["path"]), ",").alias("paths"))
 
 
-@query("x17_a03_document_frequency", f"with w as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 and w not in ({', '.join(map(repr, T.TOPIC_STOP))}) and not regexp_full_match(w, '[0-9]+')))) as word from documents where lang = 'en') select word, count(*) as n from w group by 1 having count(*) >= 5")
+@query("x17_a03_document_frequency", f"with w as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 and w not in ({', '.join(map(repr, T.TOPIC_STOP))}) and not regexp_full_match(w, '[0-9]+')))) as word from documents) select word, count(*) as n from w group by 1")
 def x17(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    return d.select(F.explode(T.topics(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    return table(spark, sf, "documents").select(F.explode(T.topics(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("x18_theme_labels", _with(CHUNK, f"w as (select label, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 and w not in ({', '.join(map(repr, T.TOPIC_STOP))}) and not regexp_full_match(w, '[0-9]+')))) as word from chunk)", "n as (select label, word, count(*) as n from w group by 1, 2 having count(*) >= 2)", "r as (select *, row_number() over (partition by label order by n desc, word) as r from n)") + "select label::varchar as cluster, string_agg(word, ' · ' order by r) as theme from r where r <= 3 group by 1")
@@ -98,17 +97,16 @@ def x20(spark, sf):
     return jobs.high_signal(m.select(F.concat("file", F.lit(":"), F.lpad(F.col("line").cast("string"), 6, "0")).alias("ord"), "role", marked.alias("text")))
 
 
-@query("x25_jaccard", _with(CHUNK, "w as (select ord, label, list_distinct(regexp_split_to_array(lower(text), '\\s+')) as w from chunk where ord < 60)") + "select x.ord as a, y.ord as b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w))::double, 6) as jaccard from w x join w y on x.label = y.label and x.ord < y.ord")
+@query("x25_jaccard", _with("w as (select doc_id, list_distinct(regexp_split_to_array(lower(text), '\\s+')) as w from documents)") + "select x.doc_id, round(len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w))::double, 6) as jaccard from w x join w y on y.doc_id = x.doc_id + 1")
 def x25(spark, sf):
-    w = views.chunk(spark, sf).where("ord < 60").select("ord", "label", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
-    x, y = w.alias("x"), w.alias("y")
-    p = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.ord") < F.col("y.ord")))
-    return p.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.round(graph.jaccard(F.col("x.w"), F.col("y.w")), 6).alias("jaccard"))
+    w = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
+    after = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return w.join(after, "doc_id").select("doc_id", F.round(graph.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
-@query("x26_duration", "with s as (select user_id, floor(date_diff('millisecond', min(ts), max(ts)) / 1000)::bigint as s from events where user_id % 3 = 0 group by 1) select user_id, case when s >= 86400 then (s // 86400) || 'd' when s >= 3600 then (s // 3600) || 'h' when s >= 60 then (s // 60) || 'm' else s || 's' end as span from s")
+@query("x26_duration", "with s as (select user_id, floor(date_diff('millisecond', min(ts), max(ts)) / 1000)::bigint as s from events group by 1) select user_id, case when s >= 86400 then (s // 86400) || 'd' when s >= 3600 then (s // 3600) || 'h' when s >= 60 then (s // 60) || 'm' else s || 's' end as span from s")
 def x26(spark, sf):
-    e = table(spark, sf, "events").where("user_id % 3 = 0").groupBy("user_id").agg(F.floor((F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))) / 1000).alias("s"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.floor((F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))) / 1000).alias("s"))
     return e.select("user_id", D.duration(F.col("s")).alias("span"))
 
 
@@ -166,17 +164,19 @@ def q02(spark, sf):
 
 def _label_ranking(spark, sf, decayed: bool = False):
     c = views.chunk(spark, sf)
-    q = c.where("ord < 20").select(F.col("ord").alias("query"), F.col("vector").alias("qv"), F.col("label").alias("ql"))
-    p = c.join(F.broadcast(q), F.col("ord") != F.col("query")).withColumn("sem", F.round(V.cosine(F.col("vector"), F.col("qv")), 6))
+    q = c.where("ord % 100 = 0")
+    rows = c.select("ord", "rel", "vector")
     if decayed:
-        p = p.join(views.entries(spark, sf), "rel", "left").withColumn("sem", F.round(F.col("sem") * D.decay_factor(F.col("access"), F.col("last_access_ms"), F.col("importance"), NOW), 6))
-    rel = p.where("label = ql").select("query", F.col("ord").alias("id"))
-    ranked = p.select("query", F.col("ord").alias("id"), F.row_number().over(W.partitionBy("query").orderBy(F.desc("sem"), "ord")).alias("rank"))
-    return ranked.where("rank <= 20"), rel
+        e = views.entries(spark, sf)
+        weight = D.decay_factor(F.col("access"), F.col("last_access_ms"), F.col("importance"), NOW)
+        rows = rows.join(e, "rel", "left").select("ord", "rel", "vector", weight.alias("weight"))
+    hits = links.search(q.select(F.col("ord").alias("id"), "rel", "vector"), rows, 20)
+    rel = q.select(F.col("ord").alias("query"), "label").join(c.select(F.col("ord").alias("id"), "label"), "label").where("query <> id").select("query", "id")
+    return hits.select("query", F.col("ord").alias("id"), F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "ord")).alias("rank")), rel
 
 
 _METRIC = _with(CHUNK, ENTRIES, _AGED, f"""p as (select q.ord as query, c.ord as id, c.label = q.label as hit, row_number() over (partition by q.ord order by round(list_cosine_similarity(c.vector, q.vector), 6) desc, c.ord) as rank,
-  row_number() over (partition by q.ord order by round(round(list_cosine_similarity(c.vector, q.vector), 6) * case when aged.d is null then 1 else {_FACTOR} end, 6) desc, c.ord) as drank from chunk q join chunk c on q.ord < 20 and c.ord <> q.ord left join aged on aged.rel = c.rel)""",
+  row_number() over (partition by q.ord order by round(round(list_cosine_similarity(c.vector, q.vector), 6) * case when aged.d is null then 1 else {_FACTOR} end, 6) desc, c.ord) as drank from chunk q join chunk c on q.ord % 100 = 0 and c.ord <> q.ord left join aged on aged.rel = c.rel)""",
     "n as (select query, count(*) filter (hit) as n from p group by 1)", "ks as (select unnest([1, 5, 10]) as k)")
 
 
@@ -202,9 +202,10 @@ def q16(spark, sf):
 # --- usage -------------------------------------------------------------------------------------------------------
 
 
-@query("a05_merge_access", _with(ENTRIES, "h as (select distinct source || '/' || doc_id as rel from documents where doc_id % 40 = 3)") + f"select rel, (coalesce(access, 0) + (h.rel is not null)::int)::int as access, case when h.rel is not null then {NOW} else last_ms end as last_access_ms, coalesce(importance, 0.5) as importance from entries full join h using (rel)")
+@query("a05_merge_access", _with(ENTRIES, "h as (select distinct source || '/' || doc_id as rel from documents join labels using (doc_id))") + f"select rel, (coalesce(access, 0) + (h.rel is not null)::int)::int as access, case when h.rel is not null then {NOW} else last_ms end as last_access_ms, coalesce(importance, 0.5) as importance from entries full join h using (rel)")
 def a05(spark, sf):
-    hits = table(spark, sf, "documents").where("doc_id % 40 = 3").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"))
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    hits = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"))
     return jobs.merge_access(views.entries(spark, sf), hits, NOW)
 
 
@@ -274,7 +275,7 @@ def j15(spark, sf):
 @query("g11_q04_connect")
 def g11(spark, sf):
     c = views.chunk(spark, sf)
-    seeds = c.where("ord < 20").select(F.col("ord").alias("seed"), F.col("rel").alias("seed_rel"), F.col("vector").alias("seed_vector"))
+    seeds = c.where("ord % 100 = 0").select(F.col("ord").alias("seed"), F.col("rel").alias("seed_rel"), F.col("vector").alias("seed_vector"))
     return links.connect(c, seeds, floor=0.2).select("seed", "id", "rel", F.round("redundancy", 6).alias("redundancy"), F.round("mmr", 6).alias("mmr"), "pos")
 
 
@@ -311,9 +312,9 @@ def g07(spark, sf):
 
 @query("g08_j08_contradictions")
 def g08(spark, sf):
-    c = views.chunk(spark, sf).where("type = 'en'")
+    c = views.chunk(spark, sf)
     stance = F.when(F.col("ord") % 2 == 0, "We prefer ").otherwise("Never use ")
-    m = c.select(F.col("label").cast("string").alias("cluster"), F.col("ord").alias("id"), F.col("ord").alias("pos"))
+    m = c.select(F.floor(F.col("ord") / 12).cast("string").alias("cluster"), F.col("ord").alias("id"), F.col("ord").alias("pos"))  # of a cluster's greatest size
     return graph.contradictions(m, c.select(F.col("ord").alias("id"), F.concat(stance, "text").alias("text"))).withColumn("shared", F.array_join(F.array_sort("shared"), ","))
 
 
@@ -374,8 +375,8 @@ def f10(spark, sf):
 @query("q12_save_notes")
 def q12(spark, sf):
     c = views.chunk(spark, sf)
-    cands = c.where("ord % 25 = 4").select(F.col("ord").alias("id"), F.lit("fact").alias("type"), "text", "vector")
-    return jobs.save_notes(cands, spark.createDataFrame([], "path string"), c.where("ord % 25 <> 4"), mid=MID, high=HIGH).drop("text")
+    cands = c.where("ord % 100 = 0").select(F.col("ord").alias("id"), "rel", F.lit("fact").alias("type"), "text", "vector")
+    return jobs.save_notes(cands, spark.createDataFrame([], "path string"), c, mid=MID, high=HIGH).drop("text")
 
 
 # --- streams -----------------------------------------------------------------------------------------------------

@@ -218,3 +218,32 @@ def test_save_and_signals(spark):
 def test_advisor_bounds(spark, n, want):
     s = spark.createDataFrame([(n, 0, 1, True, False, False)], "chunks long, content_ms long, index_ms long, has_cron boolean, has_store boolean, has_model boolean")
     assert [r["flag"] for r in jobs.advise(s).collect()] == want
+
+
+def test_search_equals_brute_force_over_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vec = [[float(x) for x in rng.normal(size=4)] for _ in range(60)]
+    vec[7] = vec[3]  # a tie, which goes by ord
+    rows = spark.createDataFrame([(i, f"n{i // 2}", vec[i], 0.5 + i % 3) for i in range(60)] + [(90, "odd", [1.0], 1.0), (91, "none", None, 1.0), (92, "nan", [float("nan")] * 4, 1.0)], "ord long, rel string, vector array<double>, weight double")
+    queries = rows.where("ord % 10 = 0 and ord < 60 or ord = 91").select(F.col("ord").alias("id"), "rel", "vector")
+    unit = np.array(vec) / np.linalg.norm(vec, axis=1)[:, None]
+    for k, least, block in ((5, None, 7), (None, 0.2, 7), (5, None, 1000)):
+        got = {}
+        for r in links.search(queries, rows, k, least, block=block).collect():
+            got.setdefault(r["query"], []).append((-r["score"], r["ord"]))
+        for q in range(0, 60, 10):
+            sims = [(i, round(float(unit[q] @ unit[i]), 6)) for i in range(60) if i // 2 != q // 2]
+            want = sorted((-round(s * (0.5 + i % 3), 6), i) for i, s in sims if least is None or s >= least)[:k]
+            assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in want]
+        assert 91 not in got
+    none = rows.limit(0)
+    assert links.search(queries, none, 5).count() == 0 and links.search(none.select(F.col("ord").alias("id"), "vector"), rows, 5).count() == 0
+
+
+def test_reconcile_holds_an_edit_against_other_notes_only(spark):
+    rows = spark.createDataFrame([(1, "a", "one", [1.0, 0.0]), (2, "b", "two", [0.9, 0.1]), (3, "c", "three", [0.0, 1.0])], "ord long, rel string, text string, vector array<double>")
+    edit = spark.createDataFrame([(10, "a", [1.0, 0.0]), (11, None, [1.0, 0.0]), (12, "z", None)], "id long, rel string, vector array<double>")
+    got = {r["id"]: (r["action"], [m["path"] for m in r["matches"]]) for r in links.reconcile(edit, rows).collect()}
+    assert got == {10: ("skip", ["b"]), 11: ("skip", ["a", "b"]), 12: ("new", [])}
