@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engramlake.functions import decay, text, vector
 from engramlake.operators.components import shared_dir
+from engramlake.session import stage
 
 RRF_K = 60
 
@@ -27,14 +28,28 @@ def scored(chunks: DataFrame, query: str | None, vec: list[float] | None, stop=t
     return chunks.withColumn("sem", sem).withColumn("kw", F.when(F.lit(bool(query)), kw).otherwise(0))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds name, each row's place (from 0) in the order over all rows, without one task that sorts them all.
+
+    Rows are dealt by ranges and written, so that the dealing stays as it was; each range is numbered for itself, after
+    the sizes of the ranges before it, which are as few as partitions."""
+    dealt = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + place).cast("long")).drop("_range", "_before")
+
+
 def rrf(df: DataFrame, k0: int = RRF_K) -> DataFrame:
     """Adds sem_rank, kw_rank (from 0; null where a row isn't in a list) and rrf.
 
     Keyword hits alone are ranked by keyword; ties go by ord."""
-    sem = F.when(F.col("sem").isNotNull(), F.row_number().over(W.orderBy(F.desc_nulls_last("sem"), "ord")) - 1)
-    kw = F.when(F.col("kw") > 0, F.row_number().over(W.orderBy(F.desc("kw"), "ord")) - 1)
+    out = numbered(df.select("ord", "sem", "kw"), [F.desc_nulls_last("sem"), F.asc("ord")], "sem_rank")
+    hit = F.when(F.col("kw") > 0, F.col("kw"))
+    out = numbered(out, [F.desc_nulls_last(hit), F.asc("ord")], "kw_rank")
+    ranks = out.select("ord", F.when(F.col("sem").isNotNull(), F.col("sem_rank")).alias("sem_rank"), F.when(F.col("kw") > 0, F.col("kw_rank")).alias("kw_rank"))
     part = lambda r: F.coalesce(1 / (k0 + F.col(r)), F.lit(0.0))
-    return df.withColumn("sem_rank", sem.cast("long")).withColumn("kw_rank", kw.cast("long")).withColumn("rrf", part("sem_rank") + part("kw_rank"))
+    return df.join(ranks, "ord").withColumn("rrf", part("sem_rank") + part("kw_rank"))
 
 
 def safe_depth(k: int) -> int:
@@ -74,7 +89,7 @@ def recall(chunks: DataFrame, query: str | None = None, vec: list[float] | None
     if not isinstance(k, int):
         raise TypeError("k is a whole number")
     rows = scored(filter_meta(chunks, **filters), query, vec, stop, path_bonus)
-    fused = rrf_top(rows, max(k, head if scorer else 0)) if vec else rrf(rows.where("kw > 0"))
+    fused = rrf_top(rows if vec else rows.where("kw > 0"), max(k, head if scorer else 0))
     out = with_decay(fused.where("rrf > 0"), entries, now_ms)
     order = [F.desc("score"), F.desc("rrf"), F.asc("ord")]
     if scorer is None:

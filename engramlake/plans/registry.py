@@ -372,6 +372,100 @@ def f10(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
+@query("p02_p22_front_matter", "select doc_id, lang as type, 'active' as status, '2024-03-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') as date, source || ',kept' as tags, md5(coalesce(text, '')) as body_md5 from documents")
+def p02(spark, sf):
+    day = F.concat(F.lit("2024-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    head = F.concat(F.lit("---\ntype: "), "lang", F.lit("\ndate: "), day, F.lit("\ntags: ["), "source", F.lit(", kept]\n---\n"))
+    d = table(spark, sf, "documents").withColumn("note", F.concat(head, F.coalesce("text", F.lit("")))).withColumn("m", T.front_matter(F.lit("notes/a.md"), F.col("note")))
+    return d.select("doc_id", "m.type", "m.status", "m.date", F.array_join("m.tags", ",").alias("tags"), F.md5(T.without_front_matter(F.col("note"))).alias("body_md5"))
+
+
+@query("p05_p07_transcript_lines", "select '/w/memory/threads/' || conv_id || '.jsonl' as file, turn + 1 as line, 'thread' as kind, 'user' as role, md5(text) as text_md5 from conversations where trim(text) <> ''")
+def p05(spark, sf):
+    from engramlake.sources import transcripts
+
+    said = F.to_json(F.struct(F.lit("user_message").alias("type"), F.lit("2024-01-01").alias("timestamp"), F.struct(F.col("text").alias("content")).alias("data")))
+    file = F.concat(F.lit("/w/memory/threads/"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    lines = table(spark, sf, "conversations").select(file.alias("file"), (F.col("turn") + 1).alias("line"), said.alias("value"))
+    return transcripts.parse_lines(transcripts.classify(lines)).select("file", "line", "kind", "role", F.md5("text").alias("text_md5"))
+
+
+@query("s09_evaluation_set", "select item_id as line, md5(text) as query_md5, 'b' || item_id as relevant from benchmark where trim(text) <> ''")
+def s09(spark, sf):
+    from engramlake.sources import notes
+
+    value = F.to_json(F.struct(F.col("text").alias("query"), F.array(F.concat(F.lit("b"), F.col("item_id").cast("string"))).alias("relevant")))
+    e = notes.read_eval(table(spark, sf, "benchmark").select(F.col("item_id").alias("line"), value.alias("value")))
+    return e.where("skip_reason is null").select("line", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"))
+
+
+@query("j12_t03_u03_new_units")
+def j12(spark, sf):
+    from engramlake.sources import transcripts
+
+    u = transcripts.units(views.messages(spark, sf))
+    return transcripts.new_units(u, u.where("role = 'user'")).select("id", "file", "line", "sub")
+
+
+@query("x23_x24_keys_and_times", f"select doc_id, coalesce(lang, source, doc_id::varchar) as key, case when doc_id % 2 = 0 then doc_id::bigint else epoch_ms(date '2020-01-01' + (doc_id % 1500)::int) end as ms from documents")
+def x23(spark, sf):
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int")), "yyyy-MM-dd")
+    ms = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("long"))
+    return table(spark, sf, "documents").select("doc_id", links.stable_id("lang", "source", "doc_id").alias("key"), links.time_ms(ms, day).alias("ms"))
+
+
+@query("x19_polarity")
+def x19(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.denies(F.col("text")).alias("denies"), T.favours(F.col("text")).alias("favours"))
+
+
+# --- sweeps ------------------------------------------------------------------------------------------------------
+
+
+@query("q10_heartbeat", _with(ENTRIES, f"notes as (select source || '/' || doc_id as rel, lang, {NOW} - doc_id * 60000 as mtime_ms from documents where lang <> 'de')")
+       + f"select 'ORPHAN' as section, rel from entries where rel not in (select rel from notes) union all (select 'RECENT', rel from notes where mtime_ms >= {NOW} - 45 * 60000 and lang <> 'fr' order by mtime_ms desc, rel limit 15)")
+def q10(spark, sf):
+    d = table(spark, sf, "documents").where("lang <> 'de'")  # other notes were deleted
+    n = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), "lang", (F.lit(NOW) - F.col("doc_id") * 60_000).alias("mtime_ms"))
+    return jobs.heartbeat(n.drop("lang"), views.entries(spark, sf), n.where("lang = 'fr'").select("rel"), NOW)
+
+
+def _window(spark, sf):
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("ord"), "role", "text")
+
+
+_LAST = "last as (select (conv_id * 1000 + turn)::bigint as ord, role, left(text, 1200) as text from conversations order by 1 desc limit 400)"
+
+
+@query("q11_capture", f"with {_LAST} select 'snapshot' as mode, ord, role, md5(text) as text_md5 from last")
+def q11(spark, sf):
+    return jobs.capture(_window(spark, sf), NOW - 60_000, NOW).select("mode", "ord", "role", F.md5("text").alias("text_md5"))
+
+
+@query("x21_window_digest", f"with {_LAST} select left(sha256(string_agg(role || ':' || text, chr(10) order by ord)), 8) as digest from last")
+def x21(spark, sf):
+    return jobs.digest(jobs.capture(_window(spark, sf), NOW, NOW).select("ord", "role", "text"))
+
+
+@query("q14_stale_logs", f"with l as (select event_type as name, epoch_us(max(ts)) // 1000 as ms from events group by 1), w as (select * from (values ('click', 1.0), ('purchase', 1e9), ('absent', 1.0)) t(name, most)) select name, round(({NOW} - ms) / 3600000.0::double, 3) as hours, case when ms is null then 'missing' when ({NOW} - ms) / 3600000.0::double > most then 'stale' else 'fresh' end as state from w left join l using (name)")
+def q14(spark, sf):
+    logs = table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("mtime_ms"))
+    return jobs.stale_logs(logs, {"click": 1.0, "purchase": 1e9, "absent": 1.0}, NOW)
+
+
+@query("a02_a07_counts", "select lang as type, count(*) as chunks, count(distinct source) as files, max(doc_id) as newest from documents group by 1")
+def a02(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("lang").alias("type")).agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"), F.max("doc_id").alias("newest"))
+
+
+@query("q15_briefing")
+def q15(spark, sf):
+    clusters = graph.promotable(graph.dense_clusters(_rounds(spark, sf)), recurrence=2)
+    insights = graph.merge_insights(graph.merge_insights(spark.createDataFrame([], graph.INSIGHT), clusters, NOW), clusters, NOW + 1)
+    pending = jobs.flagged(views.chunk(spark, sf))
+    return jobs.briefing(views.entries(spark, sf), insights, pending, NOW)
+
+
 @query("q12_save_notes")
 def q12(spark, sf):
     c = views.chunk(spark, sf)

@@ -247,3 +247,12 @@ def test_reconcile_holds_an_edit_against_other_notes_only(spark):
     edit = spark.createDataFrame([(10, "a", [1.0, 0.0]), (11, None, [1.0, 0.0]), (12, "z", None)], "id long, rel string, vector array<double>")
     got = {r["id"]: (r["action"], [m["path"] for m in r["matches"]]) for r in links.reconcile(edit, rows).collect()}
     assert got == {10: ("skip", ["b"]), 11: ("skip", ["a", "b"]), 12: ("new", [])}
+
+
+def test_numbered_over_ranges(spark):
+    rows = [(i, None if i % 5 == 0 else i * 7 % 13) for i in range(200)]
+    df = spark.createDataFrame(rows, "ord long, v long").repartition(5)
+    got = {r["ord"]: r["at"] for r in ranking.numbered(df, [F.desc_nulls_last("v"), F.asc("ord")], "at").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: n for n, r in enumerate(want)}
+    assert ranking.numbered(df.limit(0), [F.asc("ord")], "at").count() == 0
