@@ -63,11 +63,12 @@ def rrf_top(df: DataFrame, k: int, k0: int = RRF_K) -> DataFrame:
     The best rows of each list are found by a limit (partial in each task); each survivor's true rank in the other list
     is the number of rows before it, counted in one pass against the survivors, whose number is bounded."""
     m = safe_depth(k)
-    top = df.where("sem is not null").orderBy(F.desc("sem"), "ord").limit(m).select("ord").union(df.where("kw > 0").orderBy(F.desc("kw"), "ord").limit(m).select("ord")).distinct()
+    slim = stage(df.select("ord", "sem", "kw"), "scored")  # texts and vectors are scored once
+    top = slim.where("sem is not null").orderBy(F.desc("sem"), "ord").limit(m).select("ord").union(slim.where("kw > 0").orderBy(F.desc("kw"), "ord").limit(m).select("ord")).distinct()
     few = df.join(F.broadcast(top), "ord", "left_semi")  # at most 2 * m rows
-    marks = few.select(F.col("ord").alias("_o"), F.col("sem").alias("_s"), F.col("kw").alias("_k"))
+    marks = slim.join(F.broadcast(top), "ord", "left_semi").select(F.col("ord").alias("_o"), F.col("sem").alias("_s"), F.col("kw").alias("_k"))
     ahead = lambda a, b: (F.col(a) > F.col(b)) | (F.col(a) == F.col(b)) & (F.col("ord") < F.col("_o"))
-    counts = df.select("ord", "sem", "kw").join(F.broadcast(marks), ahead("sem", "_s") | ahead("kw", "_k") & (F.col("kw") > 0))
+    counts = slim.join(F.broadcast(marks), ahead("sem", "_s") | ahead("kw", "_k") & (F.col("kw") > 0))
     counts = counts.groupBy("_o").agg(F.count_if(ahead("sem", "_s")).alias("_sr"), F.count_if(ahead("kw", "_k") & (F.col("kw") > 0)).alias("_kr"))
     out = few.join(counts, few.ord == counts._o, "left").fillna(0, ["_sr", "_kr"])
     out = out.withColumn("sem_rank", F.when(F.col("sem").isNotNull(), F.col("_sr"))).withColumn("kw_rank", F.when(F.col("kw") > 0, F.col("_kr")))
