@@ -248,6 +248,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 
 #: For similarities well below equality, where whole-text fingerprints differ in too many bits for any exact search.
 NEAR_SHINGLE, SIMILARITY, STRATA, STRATUM = 5, 0.8, 12, 4
+WINDOW, GROUP = 7, 1000
 
 
 def strata(digests: bytes, lanes):
@@ -314,8 +315,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     """(row, component) of the rows of docs that have near copies: NEAR_SHINGLE words, SIMILARITY or more, linked.
 
     Candidates are rows of linked whole-text fingerprints (by the Gray-order index) and rows with a stratum in common.
-    In a group of candidates each row is held against the least row and the one before it, never all against all; a
-    row has up to 2 * STRATA groups, with other neighbours in each. Each candidate pair is verified on the whole texts.
+    In a group of candidates each row is held against the least row first. The rows then stand in Gray order of their
+    fingerprints, and each is held against the WINDOW rows before it, unless the least row has linked both already: a
+    group of up to WINDOW + 1 rows is compared wholly, a larger one never all against all. A large group's order is
+    dealt over tasks, about GROUP rows in each. Each candidate pair is verified on the whole texts.
     docs: (row, text) from a written table, row unique."""
     found = stage(docs.select("row", "text").mapInArrow(_prints_and_strata, "row long, fingerprint long, keys array<long>"), "near-prints")
     values = stage(found.groupBy("fingerprint").agg(F.min("row").alias("least")), "near-values")
@@ -325,21 +328,35 @@ def near_components(docs: DataFrame) -> DataFrame:
         both = both.join(named, side)
     both = both.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     same = found.join(values, "fingerprint").select(F.col("row").alias("a"), F.col("least").alias("b"))
-    # Pairs of a group's neighbours and with its least row; a group is spread over tasks by ranges of its rows.
-    rows = stage(found.select(F.explode("keys").alias("key"), "row"), "near-strata")
+    rows = stage(found.select(F.explode("keys").alias("key"), "row", gray_rank(F.col("fingerprint")).alias("rank")), "near-strata")
     groups = rows.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
-    many = stage(rows.join(groups.select("key", "least"), "key"), "near-groups")
+    many = stage(rows.join(groups, "key"), "near-groups")
     star = many.select(F.col("row").alias("a"), F.col("least").alias("b"))
-    part = F.pmod(F.xxhash64("row"), F.lit(64))  # so that no group's rows stand in one task's order
-    chain = many.select("row", F.lag("row").over(W.partitionBy("key", part).orderBy("row")).alias("b")).where("b is not null").withColumnRenamed("row", "a")
-    pairs = both.unionByName(same).unionByName(star).unionByName(chain).where("a <> b")
-    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    first = stage(_links_on_texts(docs, both.unionByName(same).unionByName(star)), "near-first")
+    # What the first links leave open in the groups.
+    tied = many.join(first.select(F.col("a").alias("least"), F.col("b").alias("row"), F.lit(True).alias("tied")), ["least", "row"], "left")
+    tied = tied.select("key", "row", "rank", "n", (F.col("tied").isNotNull() | (F.col("row") == F.col("least"))).alias("tied"))
+    part = F.pmod(F.xxhash64("row"), F.floor(F.col("n") / GROUP) + 1)
+    order = W.partitionBy("key", part).orderBy(F.shiftrightunsigned("rank", 1), "rank", "row").rowsBetween(-WINDOW, -1)
+    before = tied.select("row", "tied", F.collect_list(F.struct("row", "tied")).over(order).alias("before"))
+    near = before.select(F.col("row").alias("a"), "tied", F.explode("before").alias("b")).where("not (tied and b.tied)").select("a", F.col("b.row").alias("b"))
+    second = _links_on_texts(docs, near, star)
+    return connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
+
+
+def _links_on_texts(docs: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: the different pairs of rows, without known ones, that are near copies by their whole texts."""
+
+    def ordered(p: DataFrame) -> DataFrame:
+        return p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    pairs = ordered(pairs).distinct()
+    pairs = stage(pairs.join(ordered(known), ["a", "b"], "left_anti") if known is not None else pairs, "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     texts = stage(docs.select("row", "text").join(wanted, "row", "left_semi"), "near-texts")
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")), side)
-    good = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
-    return connected_components(good).withColumnRenamed("node", "row")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
 
 def near_deduplicate(docs: DataFrame) -> DataFrame:

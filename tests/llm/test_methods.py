@@ -139,6 +139,18 @@ def test_near_copies(spark):
     assert {r: got.get(r, r) for r, _ in rows} == want
 
 
+def test_near_copies_behind_a_common_line(spark):
+    """Two near copies whose only common groups also hold earlier texts that are like neither."""
+    line = "this is a line that stands in front of very many short texts"
+    rows = [(i, f"{line} " + " ".join(f"own{i}word{k}" for k in range(6))) for i in range(5)]
+    rows += [(5, f"{line} left"), (6, f"{line} right")]
+    d = stage(spark.createDataFrame(rows, "row long, text string"), "near")
+    got = {r["row"]: r["component"] for r in simhash.near_components(d).collect()}
+    want = linked(dict(rows), lambda a, b: simhash.similarity(a, b) >= 0.8)
+    assert want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert {r: got.get(r, r) for r, _ in rows} == want
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     got = entry.queries()["op6_quality"](spark, sf)
