@@ -339,7 +339,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("row"), F.floor(F.col("n") / GROUP) + 1)
     order = W.partitionBy("key", part).orderBy(F.shiftrightunsigned("rank", 1), "rank", "row").rowsBetween(-WINDOW, -1)
     before = tied.select("row", "tied", F.collect_list(F.struct("row", "tied")).over(order).alias("before"))
-    near = before.select(F.col("row").alias("a"), "tied", F.explode("before").alias("b")).where("not (tied and b.tied)").select("a", F.col("b.row").alias("b"))
+    near = before.select(F.col("row").alias("a"), F.explode(F.expr("filter(before, x -> not (tied and x.tied))")).alias("b")).select("a", F.col("b.row").alias("b"))
     second = _links_on_texts(docs, near, star)
     return connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
 
