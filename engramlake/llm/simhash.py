@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from engramlake.operators.components import connected_components
 from engramlake.session import partitions, stage
@@ -247,48 +247,142 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 # --- near copies by similarity -----------------------------------------------------------------------------------
 
 #: For similarities well below equality, where whole-text fingerprints differ in too many bits for any exact search.
-NEAR_SHINGLE, SIMILARITY, STRATA, STRATUM = 5, 0.8, 12, 4
-WINDOW, GROUP = 7, 1000
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+SAMPLE, COMMON = 10_000, 50_000  # texts and shingles, for the order of the shingles only
+SIDE = 8192  # a group with more than SIDE**2 comparisons is dealt over tasks
+NO_WORDS = 0  # the key of all texts without words
 
 
-def strata(digests: bytes, lanes):
-    """Keys of a text's strata. Distinct shingles fall into classes by their hash, about STRATUM in each; the first
-    STRATA classes are strata, and a key holds a stratum's fingerprint, its class and the number of classes. Of two
-    texts as similar as SIMILARITY a stratum is the same with probability SIMILARITY**STRATUM or so. The number of
-    classes goes by powers of two of the number of shingles; a text has keys for that of texts up to a quarter longer."""
+def _may_be_near(n, bits, other_n, other_bits):
+    """Not true of pairs whose sizes or parities rule SIMILARITY out; true of all others. At a similarity s, sizes n and
+    m differ by a factor of s at most and the sets in (n + m)(1 - s)/(1 + s) shingles, as do parities in bits."""
+    import numpy as np
+
+    fits = np.minimum(n, other_n) >= SIMILARITY * np.maximum(n, other_n) - 1e-6
+    return fits & (np.bitwise_count((bits ^ other_bits).view(np.uint64)) * (1 + SIMILARITY) <= (n + other_n) * (1 - SIMILARITY) + 1e-6)
+
+
+def prefix(digests: bytes, common):
+    """(number of distinct shingles, parities of their classes in 64 bits, the rarest shingles), rare ones first by
+    common (hashes in order, counts), then by hash. Two sets of similarity SIMILARITY share that part of either one's
+    size at least, so with any order they have a shingle in common among the first size - share + 1."""
     import numpy as np
 
     h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
-    n, keys = len(h), []
-    for level in sorted({int(n).bit_length(), int(n / SIMILARITY).bit_length()}) if n else ():
-        classes = np.uint64(max(STRATA, (1 << (level - 1)) // STRATUM))
-        of = (h >> np.uint64(20)) % classes
-        own = np.flatnonzero(of < STRATA)
-        own = own[np.argsort(of[own], kind="stable")]
-        if not len(own):
-            continue
-        c, starts, sizes = np.unique(of[own], return_index=True, return_counts=True)
-        votes = np.zeros((len(c), 64), np.int64)
-        d = lanes[h[own].astype(">u8").view(np.uint8).reshape(-1, 8)]
-        for k, (s, size) in enumerate(zip(starts, sizes)) if sizes.max() > 255 else ():
-            votes[k] = sum(x.sum(0).view(np.uint8).astype(np.int64) for x in np.split(d[s : s + size], range(255, size, 255)))
-        if sizes.max() <= 255:
-            votes = np.add.reduceat(d, starts, axis=0).view(np.uint8).reshape(len(c), 64)
-        prints = np.packbits(votes > sizes[:, None] // 2, axis=1).view(">u8")[:, 0].astype(np.uint64)
-        keys.append((prints ^ (c + np.uint64(STRATA) * classes) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93))
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-
-
-def _prints_and_strata(batches: Iterable) -> Iterator:
-    """mapInArrow: (row, text) to (row, fingerprint, keys)."""
-    import pyarrow as pa
+    n = len(h)
+    if not n:
+        return 0, 0, np.full(1, NO_WORDS, np.int64)
+    bits = np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63)))
+    hashes, counts = common
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
+    return n, int(bits.view(np.int64)), h[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1].view(np.int64)
+
+
+def common_shingles(docs: DataFrame):
+    """(hashes in order, counts) of shingles that several texts of a sample have. It only sets the order of shingles:
+    what is found doesn't hang on it, how many rows meet does."""
+    import numpy as np
 
-    lanes = _lanes()
-    for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
-            digests = [shingle_digests(t, NEAR_SHINGLE) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"row": part.column(0), "fingerprint": pa.array([majority(d, lanes) for d in digests], pa.int64()), "keys": pa.array([strata(d, lanes) for d in digests], pa.list_(pa.int64()))})
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.unique(np.frombuffer(shingle_digests(t, NEAR_SHINGLE), ">i8").astype(np.int64)), pa.int64())})
+
+    share = max(1, docs.count() // SAMPLE)
+    counts = docs.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    got = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    hashes, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _prefixes(common):
+    """mapInArrow: (row, text) to (row, n, bits, keys)."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                n, bits, keys = zip(*(prefix(shingle_digests(t, NEAR_SHINGLE), common) for t in part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_pydict({"row": part.column(0), "n": pa.array(n, pa.int32()), "bits": pa.array(bits, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _by_group(work):
+    """mapInArrow over columns of numbers, sorted by the first: work gets the columns of whole groups."""
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not held or held[0][0][0] == new[0][-1]:
+                held.append(new)  # still in one group
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, new)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on in the next batch
+            held = [[x[cut:] for x in whole]]
+            yield from map(pa.RecordBatch.from_pydict, work(*(x[:cut] for x in whole)))
+        if held:
+            yield from map(pa.RecordBatch.from_pydict, work(*(np.concatenate(x) for x in zip(*held))))
+
+    return run
+
+
+def _groups(key, row, n, bits):
+    """Of groups of two rows or more, sorted by key and row: with the first row, and whether near copies of it may be."""
+    import numpy as np
+
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    may = _may_be_near(n.astype(np.int64), bits, n[first].astype(np.int64), bits[first]) & (row != row[first])
+    own = np.flatnonzero(size > 1)
+    if len(own):
+        yield {"key": key[own], "row": row[own], "n": n[own], "bits": bits[own], "least": row[first][own], "size": size[own].astype(np.int64), "may": may[own]}
+
+
+def _group_pairs(key, salt, cross, row, n, bits, label):
+    """Pairs of rows of a group that have different labels and may be near copies; of a cross of two salts, only pairs
+    with one row of each. Sorted by key and label."""
+    import numpy as np
+
+    n = n.astype(np.int64)
+
+    def pairs(i, j):
+        keep = (label[i] != label[j]) & ((salt[i] != salt[j]) | ~cross[i])
+        keep &= _may_be_near(n[i], bits[i], n[j], bits[j])
+        return {"a": np.broadcast_to(row[i], keep.shape)[keep], "b": np.broadcast_to(row[j], keep.shape)[keep]}
+
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    small = np.repeat(sizes <= SMALL, sizes)
+    for d in range(1, SMALL):
+        i = np.flatnonzero((key[d:] == key[:-d]) & small[d:]) if len(key) > d else np.zeros(0, int)
+        if not len(i):
+            break
+        yield pairs(i, i + d)
+    for s, e in zip(starts[sizes > SMALL].tolist(), (starts + sizes)[sizes > SMALL].tolist()):
+        for at in range(s, e, 256):
+            i = np.arange(at, min(e, at + 256))
+            # What has the label of the first row comes at once, and is left out if all of the rows have it.
+            low = s + int(np.searchsorted(label[s:e], label[at], "right")) if label[at] == label[i[-1]] else at
+            for to in range(low, e, 1 << 14):
+                j = np.arange(to, min(e, to + (1 << 14)))
+                got = pairs(*np.broadcast_arrays(i[:, None], j[None, :])) if to >= i[-1] + 1 else pairs(*(x[i[:, None] < j[None, :]] for x in np.broadcast_arrays(i[:, None], j[None, :])))
+                if len(got["a"]):
+                    yield got
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -314,33 +408,30 @@ def _verified(batches: Iterable) -> Iterator:
 def near_components(docs: DataFrame) -> DataFrame:
     """(row, component) of the rows of docs that have near copies: NEAR_SHINGLE words, SIMILARITY or more, linked.
 
-    Candidates are rows of linked whole-text fingerprints (by the Gray-order index) and rows with a stratum in common.
-    In a group of candidates each row is held against the least row first. The rows then stand in Gray order of their
-    fingerprints, and each is held against the WINDOW rows before it, unless the least row has linked both already: a
-    group of up to WINDOW + 1 rows is compared wholly, a larger one never all against all. A large group's order is
-    dealt over tasks, about GROUP rows in each. Each candidate pair is verified on the whole texts.
+    No pair is lost: candidates are all pairs with a shingle in common among the rarest of each (see prefix), without
+    those ruled out by size or parities. In a group of rows with a shingle in common each is held against the least
+    row first; what these links leave in different components is then compared, all against all, groups with many such
+    comparisons in pairs of blocks. Each candidate pair is verified on the whole texts.
     docs: (row, text) from a written table, row unique."""
-    found = stage(docs.select("row", "text").mapInArrow(_prints_and_strata, "row long, fingerprint long, keys array<long>"), "near-prints")
-    values = stage(found.groupBy("fingerprint").agg(F.min("row").alias("least")), "near-values")
-    both = links(values.select("fingerprint"), RADIUS)
-    for side in "ab":
-        named = values.select(F.col("fingerprint").alias(side), F.col("least").alias(f"row_{side}"))
-        both = both.join(named, side)
-    both = both.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
-    same = found.join(values, "fingerprint").select(F.col("row").alias("a"), F.col("least").alias("b"))
-    rows = stage(found.select(F.explode("keys").alias("key"), "row", gray_rank(F.col("fingerprint")).alias("rank")), "near-strata")
-    groups = rows.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
-    many = stage(rows.join(groups, "key"), "near-groups")
-    star = many.select(F.col("row").alias("a"), F.col("least").alias("b"))
-    first = stage(_links_on_texts(docs, both.unionByName(same).unionByName(star)), "near-first")
-    # What the first links leave open in the groups.
-    tied = many.join(first.select(F.col("a").alias("least"), F.col("b").alias("row"), F.lit(True).alias("tied")), ["least", "row"], "left")
-    tied = tied.select("key", "row", "rank", "n", (F.col("tied").isNotNull() | (F.col("row") == F.col("least"))).alias("tied"))
-    part = F.pmod(F.xxhash64("row"), F.floor(F.col("n") / GROUP) + 1)
-    order = W.partitionBy("key", part).orderBy(F.shiftrightunsigned("rank", 1), "rank", "row").rowsBetween(-WINDOW, -1)
-    before = tied.select("row", "tied", F.collect_list(F.struct("row", "tied")).over(order).alias("before"))
-    near = before.select(F.col("row").alias("a"), F.explode(F.expr("filter(before, x -> not (tied and x.tied))")).alias("b")).select("a", F.col("b.row").alias("b"))
-    second = _links_on_texts(docs, near, star)
+    spark = docs.sparkSession
+    docs = docs.select("row", "text")
+    dealt = docs.mapInArrow(_prefixes(common_shingles(docs)), "row long, n int, bits long, keys array<long>").select(F.explode("keys").alias("key"), "row", "n", "bits")
+    dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "row")
+    many = stage(dealt.mapInArrow(_by_group(_groups), "key long, row long, n int, bits long, least long, size long, may boolean"), "near-groups")
+    star = many.where("may").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    first = stage(_links_on_texts(docs, star), "near-first")
+    # What the first links leave open in the groups: all pairs without the least row.
+    parts = connected_components(first)
+    rest = many.where("size > 2 and row <> least").join(parts.withColumnRenamed("node", "row"), "row", "left")
+    rest = stage(rest.select("key", "row", "n", "bits", F.coalesce("component", "row").alias("label")), "near-rest")
+    sizes = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("labels"))
+    sizes = sizes.where("labels > 1").select("key", F.ceil(F.sqrt(F.col("n") * (F.col("n") - F.col("most"))) / SIDE).cast("int").alias("salts"))
+    grid = rest.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    cell = F.when(F.col("salts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("salt", "other"), F.greatest("salt", "other")))
+    grid = grid.select(cell.alias("key"), "salt", (F.col("salt") != F.col("other")).alias("cross"), "row", "n", "bits", "label")
+    grid = grid.repartition(partitions(spark), "key").sortWithinPartitions("key", "label")
+    second = _links_on_texts(docs, grid.mapInArrow(_by_group(_group_pairs), "a long, b long"), star)
     return connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
 
 

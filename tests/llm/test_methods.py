@@ -254,3 +254,13 @@ def test_several_neighbourhoods(spark):
     for r in got:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert len(got) == 900 and max(fill.values()) <= 4096 and len(fill) <= 1.06 * sum(r[3] for r in rows) / 4096
+
+
+def test_near_copies_in_a_large_group(spark):
+    """Two near copies whose only common shingles are those of a template that many texts like neither hold as well."""
+    template = " ".join(f"common{k}" for k in range(24))
+    rows = [(i, f"{template} " + " ".join(f"own{i}word{k}" for k in range(8 + i % 9))) for i in range(3000)]
+    rows += [(3000, f"{template} left"), (3001, " ".join(f"far{k}" for k in range(30))), (3002, f"right {template}"), (3003, None), (3004, "")]
+    d = stage(spark.createDataFrame(rows, "row long, text string").repartition(8), "near")
+    got = {r["row"]: r["component"] for r in simhash.near_components(d).collect()}
+    assert got == {3000: 3000, 3002: 3000, 3003: 3003, 3004: 3003}
