@@ -264,3 +264,18 @@ def test_near_copies_in_a_large_group(spark):
     d = stage(spark.createDataFrame(rows, "row long, text string").repartition(8), "near")
     got = {r["row"]: r["component"] for r in simhash.near_components(d).collect()}
     assert got == {3000: 3000, 3002: 3000, 3003: 3003, 3004: 3003}
+
+
+def test_pairs_at_the_limit_of_similarity(spark):
+    """All pairs at just 0.8, of sizes where twelve strata lost the most."""
+    rng, rows = random.Random(3), []
+    words = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    for n in (204, 408, 816):
+        common = -(-2 * n * 8 // 18)
+        for _ in range(200):
+            own = words(common + 4)
+            rows += [(len(rows), " ".join(own + words(n - common))), (len(rows) + 1, " ".join(own + words(n - common)))]
+    assert all(0.8 <= simhash.similarity(x, y) < 0.81 for (_, x), (_, y) in zip(rows[::2], rows[1::2]))
+    d = stage(spark.createDataFrame(rows, "row long, text string").repartition(8), "near")
+    got = {r["row"]: r["component"] for r in simhash.near_components(d).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
