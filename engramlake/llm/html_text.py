@@ -7,7 +7,8 @@ the ratios' standard deviation) are clustered, and the sections that hold a clus
 itself are the content, whole. Elements
 that are never content by their name or role (menus, page headers and footers, sidebars, forms, scripts, hidden ones)
 and those whose class or id says so (adverts, notices, comments, related links) make no lines. Where a page names its
-article or main part, only lines in it are candidates.
+article or main part, the lines in it are the content, all of them, whatever their ratios; headers and notices there are
+its own, and what a heading's id says is its subject.
 
 Null and empty html gives an empty text, as does a page without content. Unclosed elements end with their parents.
 Repeated rows give repeated results; an empty table gives no rows. Columns besides page_id, url and html are not read.
@@ -40,14 +41,17 @@ WORDS = frozenset(
     " gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended"
     " related replies reply responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that say nothing against what is in the article or main part: its title stands in its header.
+OWN_IN_MAIN = frozenset("banner header masthead notice notices".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the same kind ends where one of these begins.
 ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 PART = re.compile(r"[a-z]+")
 
 
 @lru_cache(maxsize=10_000)
-def _names_boilerplate(value: str) -> bool:
-    return not WORDS.isdisjoint(PART.findall(value.lower()))
+def _names_boilerplate(value: str, main: bool = False) -> bool:
+    return not (WORDS - OWN_IN_MAIN if main else WORDS).isdisjoint(PART.findall(value.lower()))
 
 
 class Lines(HTMLParser):
@@ -88,14 +92,14 @@ class Lines(HTMLParser):
             self.section = self.sections
             self.main = self.main or tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
 
-    @staticmethod
-    def hidden(tag: str, attrs: list) -> bool:
+    def hidden(self, tag: str, attrs: list) -> bool:
         if tag in ("body", "html"):
             return False
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in ROLES:
                 return True
-            if v and (k in ("class", "id") and tag not in MAIN and _names_boilerplate(v) or k == "style" and "display:none" in v.replace(" ", "").lower()):
+            named = k in ("class", "id") and tag not in MAIN and not (self.main and k == "id" and tag in HEADINGS)
+            if v and (named and _names_boilerplate(v, self.main) or k == "style" and "display:none" in v.replace(" ", "").lower()):
                 return True
         return False
 
@@ -139,7 +143,7 @@ def main_text(html: str | None) -> str:
     parser.flush()
     lines = parser.lines
     if any(x[3] for x in lines):
-        lines = [x for x in lines if x[3]]
+        return " ".join(x[0] for x in lines if x[3])
     if not lines:
         return ""
     import numpy as np

@@ -191,6 +191,14 @@ def test_main_text():
     assert html_text.main_text(plain) == ("long text " * 30).strip() + " Short."
 
 
+def test_main_text_keeps_the_whole_article():
+    long = "<p>" + "word " * 60 + "</p>"
+    page = f"""<body><nav>Menu</nav><article><div class="entry-header"><h1>Title</h1></div>{long * 4}<table><tr><td>42</td><td>7</td></tr></table>
+    {long * 4}<section><h2 id="cookies">Short</h2></section><div class="notice">Mind.</div><div><pre>x = 1</pre></div>{long * 4}<div class="share">Share</div></article><div>Else</div></body>"""
+    four = " ".join(["word"] * 240)
+    assert html_text.main_text(page) == f"Title {four} 42 7 {four} Short Mind. x = 1 {four}"
+
+
 def test_main_text_of_all_pages(spark, run):
     import html
 
