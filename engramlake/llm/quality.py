@@ -158,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Fac
     marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # The side that is broadcast has train_rows rows at most.
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
-    made = rows.select("doc_id", "text", F.col("_label").cast("int").alias("label"))
-    made = made.dropDuplicates(["doc_id"]) if made.count() > train_rows else made
+    # Of rows with one doc_id, that with the least text.
+    made = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min(F.col("_label").cast("int")).alias("label"))
     got = made.select("text", "label").mapInArrow(_made, "places binary, values binary, label int").toPandas()
     if not len(got):
         return None

@@ -71,6 +71,17 @@ def test_quality_without_labels(odd, labels):
     assert {r["score"] for r in quality.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_learns_once_from_a_repeated_id(spark):
+    rows = [(i, f"text number {i} " * (3 + i % 5), "a") for i in range(40)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = stage(docs(spark, rows), "once")
+    more = stage(docs(spark, rows + [(i, "z later text " * 4, "a") for i in range(40)] + rows[:9]), "more")
+    a, b, c = quality.fit(once, marks), quality.fit(more, marks), quality.fit(more, marks, 20)
+    d = quality.fit(once, marks, 20)
+    assert (a.linear == b.linear).all() and (a.factors == b.factors).all() and a.bias == b.bias
+    assert (c.linear == d.linear).all() and c.bias == d.bias
+
+
 def test_packing(odd, none):
     p = packing.pieces(odd, queries.VOCABULARY)
     rows = packing.pack(p).collect()
