@@ -250,20 +250,28 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, COMMON = 10_000, 50_000  # texts and shingles, for the order of the shingles only
 SIDE = 8192  # a group with more than SIDE**2 comparisons is dealt over tasks
+CLASSES = 1024  # of shingles, by hash, whose parities are held for a text
 NO_WORDS = 0  # the key of all texts without words
 
 
-def _may_be_near(n, bits, other_n, other_bits):
-    """Not true of pairs whose sizes or parities rule SIMILARITY out; true of all others. At a similarity s, sizes n and
-    m differ by a factor of s at most and the sets in (n + m)(1 - s)/(1 + s) shingles, as do parities in bits."""
+def _may_be_near(n, other_n, differing):
+    """Not true of pairs whose sizes or differing parities rule SIMILARITY out; true of all others. At a similarity s,
+    sizes n and m differ by a factor of s at most and the sets in (n + m)(1 - s)/(1 + s) shingles, so parities of
+    classes of shingles in no more."""
     import numpy as np
 
     fits = np.minimum(n, other_n) >= SIMILARITY * np.maximum(n, other_n) - 1e-6
-    return fits & (np.bitwise_count((bits ^ other_bits).view(np.uint64)) * (1 + SIMILARITY) <= (n + other_n) * (1 - SIMILARITY) + 1e-6)
+    return fits & (differing * (1 + SIMILARITY) <= (n + other_n) * (1 - SIMILARITY) + 1e-6)
+
+
+def _differing(bits, other):
+    import numpy as np
+
+    return np.bitwise_count((bits ^ other).view(np.uint64))
 
 
 def prefix(digests: bytes, common):
-    """(number of distinct shingles, parities of their classes in 64 bits, the rarest shingles), rare ones first by
+    """(number of distinct shingles, parities of 64 classes of them, of 1,024, the rarest shingles), rare ones first by
     common (hashes in order, counts), then by hash. Two sets of similarity SIMILARITY share that part of either one's
     size at least, so with any order they have a shingle in common among the first size - share + 1."""
     import numpy as np
@@ -271,13 +279,14 @@ def prefix(digests: bytes, common):
     h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
     n = len(h)
     if not n:
-        return 0, 0, np.full(1, NO_WORDS, np.int64)
+        return 0, 0, bytes(CLASSES // 8), np.full(1, NO_WORDS, np.int64)
     bits = np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63)))
+    wide = np.packbits(np.bincount((h >> np.uint64(6)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES) & 1).tobytes()
     hashes, counts = common
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
-    return n, int(bits.view(np.int64)), h[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1].view(np.int64)
+    return n, int(bits.view(np.int64)), wide, h[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1].view(np.int64)
 
 
 def common_shingles(docs: DataFrame):
@@ -301,7 +310,7 @@ def common_shingles(docs: DataFrame):
 
 
 def _prefixes(common):
-    """mapInArrow: (row, text) to (row, n, bits, keys)."""
+    """mapInArrow: (row, text) to (row, n, bits, wide, keys)."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -309,8 +318,8 @@ def _prefixes(common):
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                n, bits, keys = zip(*(prefix(shingle_digests(t, NEAR_SHINGLE), common) for t in part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_pydict({"row": part.column(0), "n": pa.array(n, pa.int32()), "bits": pa.array(bits, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                n, bits, wide, keys = zip(*(prefix(shingle_digests(t, NEAR_SHINGLE), common) for t in part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_pydict({"row": part.column(0), "n": pa.array(n, pa.int32()), "bits": pa.array(bits, pa.int64()), "wide": pa.array(wide, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     return run
 
@@ -347,7 +356,7 @@ def _groups(key, row, n, bits):
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    may = _may_be_near(n.astype(np.int64), bits, n[first].astype(np.int64), bits[first]) & (row != row[first])
+    may = _may_be_near(n.astype(np.int64), n[first].astype(np.int64), _differing(bits, bits[first])) & (row != row[first])
     own = np.flatnonzero(size > 1)
     if len(own):
         yield {"key": key[own], "row": row[own], "n": n[own], "bits": bits[own], "least": row[first][own], "size": size[own].astype(np.int64), "may": may[own]}
@@ -362,7 +371,7 @@ def _group_pairs(key, salt, cross, row, n, bits, label):
 
     def pairs(i, j):
         keep = (label[i] != label[j]) & ((salt[i] != salt[j]) | ~cross[i])
-        keep &= _may_be_near(n[i], bits[i], n[j], bits[j])
+        keep &= _may_be_near(n[i], n[j], _differing(bits[i], bits[j]))
         return {"a": np.broadcast_to(row[i], keep.shape)[keep], "b": np.broadcast_to(row[j], keep.shape)[keep]}
 
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -415,11 +424,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     docs: (row, text) from a written table, row unique."""
     spark = docs.sparkSession
     docs = docs.select("row", "text")
-    dealt = docs.mapInArrow(_prefixes(common_shingles(docs)), "row long, n int, bits long, keys array<long>").select(F.explode("keys").alias("key"), "row", "n", "bits")
+    sets = stage(docs.mapInArrow(_prefixes(common_shingles(docs)), "row long, n int, bits long, wide binary, keys array<long>"), "near-sets")
+    dealt = sets.select(F.explode("keys").alias("key"), "row", "n", "bits")
     dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "row")
     many = stage(dealt.mapInArrow(_by_group(_groups), "key long, row long, n int, bits long, least long, size long, may boolean"), "near-groups")
     star = many.where("may").select(F.col("row").alias("a"), F.col("least").alias("b"))
-    first = stage(_links_on_texts(docs, star), "near-first")
+    first = stage(_links_on_texts(docs, sets, star), "near-first")
     # What the first links leave open in the groups: all pairs without the least row.
     parts = connected_components(first)
     rest = many.where("size > 2 and row <> least").join(parts.withColumnRenamed("node", "row"), "row", "left")
@@ -431,18 +441,33 @@ def near_components(docs: DataFrame) -> DataFrame:
     cell = F.when(F.col("salts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("salt", "other"), F.greatest("salt", "other")))
     grid = grid.select(cell.alias("key"), "salt", (F.col("salt") != F.col("other")).alias("cross"), "row", "n", "bits", "label")
     grid = grid.repartition(partitions(spark), "key").sortWithinPartitions("key", "label")
-    second = _links_on_texts(docs, grid.mapInArrow(_by_group(_group_pairs), "a long, b long"), star)
+    second = _links_on_texts(docs, sets, grid.mapInArrow(_by_group(_group_pairs), "a long, b long"), star)
     return connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
 
 
-def _links_on_texts(docs: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _possible(batches: Iterable) -> Iterator:
+    """mapInArrow: (a, b, n_a, n_b, wide_a, wide_b) to the (a, b) that may be near copies."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+        wide = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, CLASSES // 64) for k in (4, 5))
+        at = pa.array(np.flatnonzero(_may_be_near(n_a, n_b, _differing(*wide).sum(1, dtype=np.int64))))
+        yield pa.RecordBatch.from_pydict({"a": batch.column(0).take(at), "b": batch.column(1).take(at)})
+
+
+def _links_on_texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: the different pairs of rows, without known ones, that are near copies by their whole texts."""
 
     def ordered(p: DataFrame) -> DataFrame:
         return p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     pairs = ordered(pairs).distinct()
-    pairs = stage(pairs.join(ordered(known), ["a", "b"], "left_anti") if known is not None else pairs, "near-pairs")
+    pairs = pairs.join(ordered(known), ["a", "b"], "left_anti") if known is not None else pairs
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
+    pairs = stage(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_possible, "a long, b long"), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     texts = stage(docs.select("row", "text").join(wanted, "row", "left_semi"), "near-texts")
     for side in "ab":
