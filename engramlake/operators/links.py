@@ -26,8 +26,8 @@ def all_pairs(rows: DataFrame, least: float, id: str = "id", digits: int = 6, ke
     """(a, b, sim, days, shared) with a < b for pairs with sim >= least, and where keep_days is given also those within
     so many days or with shared entities. rows: id, vector, optionally ms and entities.
 
-    Rows fall into blocks; each pair of blocks is one matrix product in a task of its own. Rows whose vector is
-    missing or of another size than most are left out."""
+    Rows fall into blocks; each pair of blocks is one matrix product in a task of its own. Rows without a vector
+    are left out, and only vectors of one size are held against each other."""
     n = rows.count()
     blocks = max(1, -(-n // block))
     have = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
@@ -36,16 +36,19 @@ def all_pairs(rows: DataFrame, least: float, id: str = "id", digits: int = 6, ke
     grid = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def product(pdf):
-        import numpy as np
         import pandas as pd
 
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = pdf[pdf["own"] == i].reset_index(drop=True), pdf[pdf["own"] == j].reset_index(drop=True)
+        found = [of_size(g[g["own"] == i].reset_index(drop=True), g[g["own"] == j].reset_index(drop=True)) for _, g in pdf.groupby(pdf["vector"].map(len))]
+        return pd.concat(found, ignore_index=True)
+
+    def of_size(x, y):
+        import numpy as np
+        import pandas as pd
+
         empty = pd.DataFrame({"a": x["id"][:0], "b": x["id"][:0], "sim": [], "days": [], "shared": []}).astype({"shared": "int64"})
         if not len(x) or not len(y):
             return empty
-        size = len(x["vector"][0])
-        x, y = (z[[len(v) == size for v in z["vector"]]].reset_index(drop=True) for z in (x, y))
         unit = lambda z: (m := np.array(z["vector"].tolist(), float).reshape(len(z), -1)) / np.where((n := np.linalg.norm(m, axis=1)) == 0, 1, n)[:, None]  # noqa: E731, F841
         sim = np.round(unit(x) @ unit(y).T, digits)
         ok = sim >= least

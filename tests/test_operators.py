@@ -99,6 +99,12 @@ def test_mmr_golden(spark):
     assert [r["id"] for r in ranking.mmr(df, 3, 0.0).orderBy("pos").collect()] == ["A", "B", "C"]
 
 
+def test_all_pairs_of_mixed_sizes(spark):
+    rows = [(i, [1.0, i / 100] if i % 2 else [1.0, 0.0, i / 100]) for i in range(20)]
+    each = [{(r["a"], r["b"]) for r in links.all_pairs(spark.createDataFrame(rows, "id long, vector array<double>"), 0.5, block=b).collect()} for b in (100, 7)]
+    assert each[0] == each[1] == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 2 == b % 2}
+
+
 def test_all_pairs_in_blocks(spark):
     rng = random.Random(5)
     rows = [(f"n{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)]
