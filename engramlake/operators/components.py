@@ -2,14 +2,15 @@
 
 Each round points every node at the smallest node it knows of (large star: the larger neighbours; small star: the
 smaller ones and itself), so that the edges become stars round the smallest node in O(log n) rounds. Only edges are
-moved, never components, and each round is written with checkpoint(), so that a lost executor costs one round at most.
+moved, never components, and each round is written to the shared folder (and the one before it deleted), so that a lost
+executor costs one round at most.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from engramlake.session import shared_dir
+from engramlake.session import release, stage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -17,19 +18,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Null ends and self loops are ignored; repeated edges count once; without edges the result is empty.
     """
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    e = stage(e, "components")
     for _ in range(max_rounds):
-        # Large star: every neighbour above a node goes to the least of the node and its neighbours.
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Large star: every neighbour above a node goes to the least of the node and its neighbours. A node without lower
+        # neighbours keeps its edges, so the side that is joined lacks the centres, which are the nodes of most edges.
+        low = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        large = e.join(low.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         # Small star: a node and its lower neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        new = stage(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
         # Stars: no node is both a centre and a point.
         tangled = new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+        release(e)
         e = new
         if not tangled and _is_star(e):
             break

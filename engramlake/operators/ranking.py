@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engramlake.functions import decay, text, vector
-from engramlake.operators.components import shared_dir
-from engramlake.session import stage
+from engramlake.session import shared_dir, stage
 
 RRF_K = 60
 

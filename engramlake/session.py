@@ -29,10 +29,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "engra
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, as a URI or path.
 
-    Where the session names none (tests on one machine), a temporary folder of this machine is made and set.
+    Where the session names none, a temporary folder is made and set if all runs on one machine (tests); a cluster's
+    executors couldn't read it.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None) or getattr(spark, "_engramlake_dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="engramlake-")
         spark._engramlake_dir = found
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,7 +52,16 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and any executor can read every part."""
     path = new_folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._engramlake_path = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete tables that stage() has written, once what was made of them is written itself."""
+    for df in staged:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._engramlake_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
