@@ -4,14 +4,15 @@ A fingerprint's bit is set if it is set in over half of the hashes (XXH64, seed
 repeats included. Fingerprints link at `radius` or fewer differing bits; documents of linked fingerprints form
 components.
 
-Equal fingerprints are grouped first, so copies cost nothing further. Distinct fingerprints are dealt by blocks: of
-radius + 2 blocks of bits, two linked ones agree on two at least, so each fingerprint is dealt once for each pair of
-blocks, by those blocks' bits, and no link is lost. Within what shares these bits, fingerprints stand in order of their
-Gray rank (the place of the value in the Gray code), so neighbours share most bits. A hierarchical index is built on
-that order: an upper node holds the bits that all below it share (mask and pattern) beyond those of its own parent. A
-search goes down from the roots and adds up the differences in the newly shared bits; a node whose sum is beyond the
-radius is left out with all below it, and so is one whose members are all linked with the seeker already. A group
-gives a spanning star for each linked set, never all its pairs.
+Equal fingerprints are grouped first, so copies cost nothing further. The distinct ones are dealt to parts of the index:
+of radius + 1 blocks of bits two linked ones agree on one at least, so each fingerprint, turned so that the block comes
+first, goes to the part of the block's leading bits, once for each block, and no link is lost. There are as many leading
+bits as make parts of about PART fingerprints. A part stands in order of Gray rank (the place of a value in the Gray
+code), so neighbours share most bits, and a hierarchical index is built on that order: an upper node holds the bits that
+all below it share (mask and pattern) beyond those of its own parent. A search goes down from the roots and adds up the
+differences in the newly shared bits; a node whose sum is beyond the radius is left out with all below it, and so is one
+whose members are all linked with the seeker already. A part gives a spanning star for each linked set, never all its
+pairs. Where many fingerprints share a block, their part is dealt on in pairs of slices.
 
 Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows and repeated ids are
 documents like any others; a null doc_id is nobody's component id unless all are null. An empty table gives no rows.
@@ -21,16 +22,17 @@ Columns besides doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from engramlake.operators.components import connected_components
-from engramlake.session import partitions, stage
+from engramlake.session import partitions, release, stage
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 FAN = 8  # children of a node
-SMALL = 16  # groups up to this size are one leaf
+PART = 1 << 14  # fingerprints of a part of the index, about; parts of HOT times as many are dealt on in slices
+HOT = 4
 
 
 # --- fingerprints ------------------------------------------------------------------------------------------------
@@ -106,6 +108,7 @@ class GrayIndex:
     def __init__(self, values):
         import numpy as np
 
+        self.visited = self.pruned = 0  # nodes compared by searches, and values below those that were left out
         self.values = np.asarray(values, np.uint64)
         every, any_ = self.values, self.values
         masks, self.patterns = [np.full(len(every), ~np.uint64(0))], [every]
@@ -136,6 +139,10 @@ class GrayIndex:
             keep = sums <= radius
             if labels is not None:
                 keep &= (low[level][node] != of[q]) | (high[level][node] != of[q])
+            self.visited += len(keep)
+            if level:
+                left = node[~keep] * FAN**level
+                self.pruned += int((np.minimum(left + FAN**level, len(self.values)) - left).sum())
             q, node, sums = q[keep], node[keep], sums[keep]
             if level:
                 size = len(self.patterns[level - 1])
@@ -170,60 +177,75 @@ def spanning_links(values, radius: int):
     return other, labels[other]
 
 
-def _group_links(radius: int):
-    """mapInArrow: (key, fingerprint) sorted by key and Gray rank; gives links (a, b)."""
-
-    def links(keys, values):
-        import numpy as np
-
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        small = np.repeat(sizes <= SMALL, sizes)
-        found = []
-        for d in range(1, SMALL):
-            i = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:]) if len(keys) > d else np.zeros(0, int)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(values[i] ^ values[i + d]) <= radius]
-            found.append((values[i], values[i + d]))
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            a, b = spanning_links(values[s : s + n], radius)
-            found.append((values[s + a], values[s + b]))
-        return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.uint64)] * 2
+def _by_group(work):
+    """mapInArrow over columns of numbers, sorted by the first: work gets the columns of whole groups."""
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        held: list = []
         for batch in batches:
-            new = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            held = [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
-                a, b = links(held[0][:cut], held[1][:cut])
-                held = [x[cut:] for x in held]
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
-        if len(held[0]):
-            a, b = links(*held)
-            yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not held or held[0][0][0] == new[0][-1]:
+                held.append(new)  # still in one group
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, new)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on in the next batch
+            held = [[x[cut:] for x in whole]]
+            yield from map(pa.RecordBatch.from_pydict, work(*(x[:cut] for x in whole)))
+        if held:
+            yield from map(pa.RecordBatch.from_pydict, work(*(np.concatenate(x) for x in zip(*held))))
 
     return run
 
 
+def _part_links(radius: int):
+    """Work of _by_group: (cell, turned, fingerprint) sorted by cell and Gray rank of the turned one; gives links (a, b)."""
+
+    def run(cell, turned, fingerprint):
+        import numpy as np
+
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
+            if e - s > 1:
+                own = fingerprint[s:e]
+                a, b = spanning_links(turned[s:e].view(np.uint64), radius)
+                yield {"a": own[a], "b": own[b]}
+
+    return run
+
+
+def in_slices(rows: DataFrame, sizes: DataFrame, key: str, salt_of: str) -> DataFrame:
+    """Rows with cell, salt and other: a key with `salts` in sizes (key, salts) over one is dealt into that many slices, and
+    each pair of slices has a cell of its own, that rows of either go to."""
+    grid = rows.join(sizes, key, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64(salt_of), F.col("salts")).cast("int"))
+    grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cell = F.when(F.col("salts") == 1, F.col(key)).otherwise(F.xxhash64(key, F.least("salt", "other"), F.greatest("salt", "other")))
+    return grid.withColumn("cell", cell)
+
+
+def parted(values: DataFrame, radius: int, n: int) -> DataFrame:
+    """(part, turned, fingerprint) of n distinct fingerprints: the parts of the index that each is in."""
+    blocks = radius + 1
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    lead = min(64 // blocks, max(0, (n // PART).bit_length()))
+    turned = [F.shiftleft("fingerprint", e).bitwiseOR(F.shiftrightunsigned("fingerprint", 64 - e)) if e else F.col("fingerprint") for e in edges[: blocks if lead else 1]]
+    top = lambda c, k: F.lit(k).cast("long") + len(turned) * (F.shiftrightunsigned(c, 64 - lead) if lead else F.lit(0).cast("long"))
+    each = F.explode(F.array(*(F.struct(top(c, k).alias("part"), c.alias("turned")) for k, c in enumerate(turned))))
+    return values.select(each.alias("p"), "fingerprint").select("p.part", "p.turned", "fingerprint")
+
+
 def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fingerprint) that span every linked set."""
-    blocks = radius + 2
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    bits = lambda k: F.shiftrightunsigned(F.shiftleft("fingerprint", edges[k]), 64 - (edges[k + 1] - edges[k]))
-    keys = []
-    for n, (i, j) in enumerate(combinations(range(blocks), 2)):
-        width = edges[j + 1] - edges[j]
-        keys.append(F.lit(n).cast("long").bitwiseOR(F.shiftleft(F.shiftleft(bits(i), width).bitwiseOR(bits(j)), 8)))
-    dealt = values.select(F.explode(F.array(*keys)).alias("key"), "fingerprint", gray_rank(F.col("fingerprint")).alias("rank"))
-    dealt = dealt.repartition(partitions(values.sparkSession), "key").sortWithinPartitions("key", "rank").select("key", "fingerprint")
-    return dealt.mapInArrow(_group_links(radius), "a long, b long")
+    dealt = parted(values, radius, values.count())
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > HOT * PART)
+    cells = in_slices(dealt, sizes.select("part", F.ceil(F.col("n") / PART).cast("int").alias("salts")), "part", "fingerprint")
+    cells = cells.withColumn("rank", gray_rank(F.col("turned"))).withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))  # as an unsigned number
+    cells = cells.repartition(partitions(values.sparkSession), "cell").sortWithinPartitions("cell", "rank")
+    return cells.select("cell", "turned", "fingerprint").mapInArrow(_by_group(_part_links(radius)), "a long, b long")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -233,8 +255,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     parts = connected_components(links(values.select("fingerprint"), radius))
     linked = values.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fingerprint", "component_id")
-    named = values.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(stage(named, "simhash-components"), "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stage(values.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    release(values)
+    return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -246,123 +269,139 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 
 # --- near copies by similarity -----------------------------------------------------------------------------------
 
-#: For similarities well below equality, where whole-text fingerprints differ in too many bits for any exact search.
+#: For similarities well below equality, where fingerprints of near copies may differ in many bits.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-SAMPLE, COMMON = 10_000, 50_000  # texts and shingles, for the order of the shingles only
+COUNTER_BITS, COUNTER_SLICES = 22, 64  # counters of shingles, by their hash, for the order of the shingles only
 SIDE = 8192  # a group with more than SIDE**2 comparisons is dealt over tasks
 CLASSES = 1024  # of shingles, by hash, whose parities are held for a text
 NO_WORDS = 0  # the key of all texts without words
+SMALL = 16  # groups up to this size are compared together
+MEMBERS = 2000  # texts that are held against one in a task, about
 
 
-def _may_be_near(n, other_n, differing):
-    """Not true of pairs whose sizes or differing parities rule SIMILARITY out; true of all others. At a similarity s,
-    sizes n and m differ by a factor of s at most and the sets in (n + m)(1 - s)/(1 + s) shingles, so parities of
-    classes of shingles in no more."""
+def _may_be_near(n, m, at, other_at):
+    """Not true of pairs of sets, of n and m shingles, that can't have SIMILARITY if the shingle at these places is the
+    first that they share: sizes differ too much, or too few shingles come behind it."""
     import numpy as np
 
-    fits = np.minimum(n, other_n) >= SIMILARITY * np.maximum(n, other_n) - 1e-6
-    return fits & (differing * (1 + SIMILARITY) <= (n + other_n) * (1 - SIMILARITY) + 1e-6)
+    return (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-6) & (np.minimum(n - at, m - other_at) * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6)
 
 
-def _differing(bits, other):
+def shingles(text: str | None):
+    """The hashes of a text's distinct word shingles, in order."""
     import numpy as np
 
-    return np.bitwise_count((bits ^ other).view(np.uint64))
+    return np.unique(np.frombuffer(shingle_digests(text, NEAR_SHINGLE), ">u8").astype(np.uint64))
 
 
-def prefix(digests: bytes, common):
-    """(number of distinct shingles, parities of 64 classes of them, of 1,024, the rarest shingles), rare ones first by
-    common (hashes in order, counts), then by hash. Two sets of similarity SIMILARITY share that part of either one's
-    size at least, so with any order they have a shingle in common among the first size - share + 1."""
+def prefix(h, levels):
+    """The rarest of a text's shingles, rare ones first by levels (of how many texts have it), then by hash. Two sets of
+    similarity SIMILARITY share that part of either one's size at least, so with any order they have a shingle in common
+    among the first size - share + 1."""
     import numpy as np
 
-    h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
     n = len(h)
     if not n:
-        return 0, 0, bytes(CLASSES // 8), np.full(1, NO_WORDS, np.int64)
-    bits = np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63)))
-    wide = np.packbits(np.bincount((h >> np.uint64(6)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES) & 1).tobytes()
-    hashes, counts = common
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
-    return n, int(bits.view(np.int64)), wide, h[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1].view(np.int64)
-
-
-def common_shingles(docs: DataFrame):
-    """(hashes in order, counts) of shingles that several texts of a sample have. It only sets the order of shingles:
-    what is found doesn't hang on it, how many rows meet does."""
+        return np.full(1, NO_WORDS, np.int64)
+    order = np.argsort(levels[h >> np.uint64(64 - COUNTER_BITS)], kind="stable")
+    return h[order[: n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1]].view(np.int64)
+
+
+def parities(h) -> bytes:
+    """Of each of CLASSES classes of shingles, whether their number is odd."""
     import numpy as np
 
-    def run(batches: Iterable) -> Iterator:
+    return np.packbits(np.bincount((h >> np.uint64(6)).astype(np.int64) & (CLASSES - 1), minlength=CLASSES) & 1).tobytes()
+
+
+def shingle_levels(docs: DataFrame) -> bytes:
+    """How common shingles are over all texts: a byte for each of 2**COUNTER_BITS counters, an eighth of a binary
+    logarithm a step. Tasks count all their texts' shingles by the leading bits of the hash; slices of the counters are
+    added up. What is found doesn't hang on the counts, how many rows meet does."""
+    size = (1 << COUNTER_BITS) // COUNTER_SLICES
+
+    def count(batches: Iterable) -> Iterator:
+        import zlib
+
+        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.unique(np.frombuffer(shingle_digests(t, NEAR_SHINGLE), ">i8").astype(np.int64)), pa.int64())})
+        counts, held, n = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
 
-    share = max(1, docs.count() // SAMPLE)
-    counts = docs.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    got = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
-    hashes, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+        def add():
+            counts[:] += np.bincount(np.concatenate(held), minlength=1 << COUNTER_BITS)
 
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                for t in batch.column(0).slice(low, 500).to_pylist():
+                    held.append((shingles(t) >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
+                    n += len(held[-1])
+                    if n > 2_000_000:
+                        add()
+                        held, n = [], 0
+        if held:
+            add()
+        if counts.any():
+            parts = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in np.split(counts, COUNTER_SLICES)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(COUNTER_SLICES), pa.int64()), "counts": pa.array(parts, pa.binary())})
 
-def _prefixes(common):
-    """mapInArrow: (row, text) to (row, n, bits, wide, keys)."""
+    def merge(batches: Iterable) -> Iterator:
+        import zlib
 
-    def run(batches: Iterable) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        sums: dict = {}
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                n, bits, wide, keys = zip(*(prefix(shingle_digests(t, NEAR_SHINGLE), common) for t in part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_pydict({"row": part.column(0), "n": pa.array(n, pa.int32()), "bits": pa.array(bits, pa.int64()), "wide": pa.array(wide, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(part), np.uint32).astype(np.int64)
+        if sums:
+            levels = [np.floor(8 * np.log2(np.maximum(s, 1))).clip(0, 255).astype(np.uint8).tobytes() for s in sums.values()]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int64()), "levels": pa.array(levels, pa.binary())})
 
-    return run
+    counts = docs.select("text").mapInArrow(count, "slice long, counts binary")
+    merged = counts.repartition(COUNTER_SLICES, "slice").mapInArrow(merge, "slice long, levels binary")
+    got = {r["slice"]: bytes(r["levels"]) for r in merged.collect()}  # COUNTER_SLICES rows
+    return b"".join(got.get(k, bytes(size)) for k in range(COUNTER_SLICES))
 
 
-def _by_group(work):
-    """mapInArrow over columns of numbers, sorted by the first: work gets the columns of whole groups."""
+def _sets(levels):
+    """mapInArrow: (row, text) to (row, n, fingerprint, wide, keys); levels: a broadcast value."""
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held: list = []
+        own, lanes = np.frombuffer(levels.value, np.uint8), _lanes()
+
+        def one(text):
+            digests = shingle_digests(text, NEAR_SHINGLE)
+            h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+            return len(h), majority(digests, lanes), parities(h), prefix(h, own)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not held or held[0][0][0] == new[0][-1]:
-                held.append(new)  # still in one group
-                continue
-            whole = [np.concatenate(x) for x in zip(*held, new)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on in the next batch
-            held = [[x[cut:] for x in whole]]
-            yield from map(pa.RecordBatch.from_pydict, work(*(x[:cut] for x in whole)))
-        if held:
-            yield from map(pa.RecordBatch.from_pydict, work(*(np.concatenate(x) for x in zip(*held))))
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                n, prints, wide, keys = zip(*map(one, part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_pydict({"row": part.column(0), "n": pa.array(n, pa.int32()), "fingerprint": pa.array(prints, pa.int64()), "wide": pa.array(wide, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     return run
 
 
-def _groups(key, row, n, bits):
+def _groups(key, row, n, at):
     """Of groups of two rows or more, sorted by key and row: with the first row, and whether near copies of it may be."""
     import numpy as np
 
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    may = _may_be_near(n.astype(np.int64), n[first].astype(np.int64), _differing(bits, bits[first])) & (row != row[first])
+    may = _may_be_near(n.astype(np.int64), n[first].astype(np.int64), at, at[first]) & (row != row[first])
     own = np.flatnonzero(size > 1)
     if len(own):
-        yield {"key": key[own], "row": row[own], "n": n[own], "bits": bits[own], "least": row[first][own], "size": size[own].astype(np.int64), "may": may[own]}
+        yield {"key": key[own], "row": row[own], "n": n[own], "at": at[own], "least": row[first][own], "size": size[own].astype(np.int64), "may": may[own]}
 
 
-def _group_pairs(key, salt, cross, row, n, bits, label):
+def _group_pairs(key, salt, cross, row, n, at, label):
     """Pairs of rows of a group that have different labels and may be near copies; of a cross of two salts, only pairs
     with one row of each. Sorted by key and label."""
     import numpy as np
@@ -371,7 +410,7 @@ def _group_pairs(key, salt, cross, row, n, bits, label):
 
     def pairs(i, j):
         keep = (label[i] != label[j]) & ((salt[i] != salt[j]) | ~cross[i])
-        keep &= _may_be_near(n[i], n[j], _differing(bits[i], bits[j]))
+        keep &= _may_be_near(n[i], n[j], at[i], at[j])
         return {"a": np.broadcast_to(row[i], keep.shape)[keep], "b": np.broadcast_to(row[j], keep.shape)[keep]}
 
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -383,104 +422,143 @@ def _group_pairs(key, salt, cross, row, n, bits, label):
             break
         yield pairs(i, i + d)
     for s, e in zip(starts[sizes > SMALL].tolist(), (starts + sizes)[sizes > SMALL].tolist()):
-        for at in range(s, e, 256):
-            i = np.arange(at, min(e, at + 256))
+        for low in range(s, e, 256):
+            i = np.arange(low, min(e, low + 256))
             # What has the label of the first row comes at once, and is left out if all of the rows have it.
-            low = s + int(np.searchsorted(label[s:e], label[at], "right")) if label[at] == label[i[-1]] else at
-            for to in range(low, e, 1 << 14):
+            begin = s + int(np.searchsorted(label[s:e], label[low], "right")) if label[low] == label[i[-1]] else low
+            for to in range(begin, e, 1 << 14):
                 j = np.arange(to, min(e, to + (1 << 14)))
-                got = pairs(*np.broadcast_arrays(i[:, None], j[None, :])) if to >= i[-1] + 1 else pairs(*(x[i[:, None] < j[None, :]] for x in np.broadcast_arrays(i[:, None], j[None, :])))
+                x, y = np.broadcast_arrays(i[:, None], j[None, :])
+                got = pairs(x, y) if to > i[-1] else pairs(x[x < y], y[x < y])
                 if len(got["a"]):
                     yield got
 
 
 def similarity(a: str | None, b: str | None) -> float:
     """Jaccard similarity of the sets of word shingles; of two texts without words, 1."""
-    import numpy as np
-
-    x, y = (set(np.frombuffer(shingle_digests(t, NEAR_SHINGLE), ">u8").tolist()) for t in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    return _similarity(shingles(a), shingles(b))
 
 
-def _verified(batches: Iterable) -> Iterator:
+def _similarity(x, y) -> float:
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        for low in range(0, batch.num_rows, 200):
-            part = batch.slice(low, 200)
-            keep = [similarity(a, b) >= SIMILARITY for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_pydict({"a": part.column(0).take(at), "b": part.column(1).take(at)})
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(row, component) of the rows of docs that have near copies: NEAR_SHINGLE words, SIMILARITY or more, linked.
 
-    No pair is lost: candidates are all pairs with a shingle in common among the rarest of each (see prefix), without
-    those ruled out by size or parities. In a group of rows with a shingle in common each is held against the least
-    row first; what these links leave in different components is then compared, all against all, groups with many such
-    comparisons in pairs of blocks. Each candidate pair is verified on the whole texts.
+    Candidates come from the Gray-order index over the fingerprints of these shingles, which finds the closest copies, and
+    from a join that loses no pair: all pairs with a shingle in common among the rarest of each (see prefix), without those
+    that sizes, places or parities rule out. In a group of rows with a shingle in common each is held against the least row
+    first; what the links so far leave in different components is then compared, all against all, groups with many such
+    comparisons in pairs of slices. Each candidate pair is verified on the whole texts.
     docs: (row, text) from a written table, row unique."""
     spark = docs.sparkSession
     docs = docs.select("row", "text")
-    sets = stage(docs.mapInArrow(_prefixes(common_shingles(docs)), "row long, n int, bits long, wide binary, keys array<long>"), "near-sets")
-    dealt = sets.select(F.explode("keys").alias("key"), "row", "n", "bits")
+    levels = spark.sparkContext.broadcast(shingle_levels(docs))  # 2**COUNTER_BITS bytes
+    sets = stage(docs.mapInArrow(_sets(levels), "row long, n int, fingerprint long, wide binary, keys array<long>"), "near-sets")
+    dealt = sets.select(F.posexplode("keys").alias("at", "key"), "row", "n").select("key", "row", "n", "at")
     dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "row")
-    many = stage(dealt.mapInArrow(_by_group(_groups), "key long, row long, n int, bits long, least long, size long, may boolean"), "near-groups")
-    star = many.where("may").select(F.col("row").alias("a"), F.col("least").alias("b"))
-    first = stage(_links_on_texts(docs, sets, star), "near-first")
+    many = stage(dealt.mapInArrow(_by_group(_groups), "key long, row long, n int, at int, least long, size long, may boolean"), "near-groups")
+    star = many.where("may").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct()
+    near = stage(star.unionByName(index_links(sets)), "near-first-pairs")
+    first = _links_on_texts(docs, sets, near)
     # What the first links leave open in the groups: all pairs without the least row.
     parts = connected_components(first)
     rest = many.where("size > 2 and row <> least").join(parts.withColumnRenamed("node", "row"), "row", "left")
-    rest = stage(rest.select("key", "row", "n", "bits", F.coalesce("component", "row").alias("label")), "near-rest")
+    rest = stage(rest.select("key", "row", "n", "at", F.coalesce("component", "row").alias("label")), "near-rest")
+    release(many)
     sizes = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("labels"))
     sizes = sizes.where("labels > 1").select("key", F.ceil(F.sqrt(F.col("n") * (F.col("n") - F.col("most"))) / SIDE).cast("int").alias("salts"))
-    grid = rest.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-    cell = F.when(F.col("salts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("salt", "other"), F.greatest("salt", "other")))
-    grid = grid.select(cell.alias("key"), "salt", (F.col("salt") != F.col("other")).alias("cross"), "row", "n", "bits", "label")
-    grid = grid.repartition(partitions(spark), "key").sortWithinPartitions("key", "label")
-    second = _links_on_texts(docs, sets, grid.mapInArrow(_by_group(_group_pairs), "a long, b long"), star)
-    return connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
+    grid = in_slices(rest.join(sizes, "key", "left_semi"), sizes, "key", "row")
+    grid = grid.select("cell", "salt", (F.col("salt") != F.col("other")).alias("cross"), "row", "n", "at", "label")
+    grid = grid.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "label")
+    pairs = grid.mapInArrow(_by_group(_group_pairs), "a long, b long")
+    second = _links_on_texts(docs, sets, pairs, near)
+    release(rest, near, sets)
+    out = connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
+    release(first, second)
+    return out
+
+
+def index_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) rows of sets (row, fingerprint) with fingerprints that span linked ones, by the index."""
+    values = stage(sets.groupBy("fingerprint").agg(F.min("row").alias("least"), F.count("*").alias("n")), "near-values")
+    found = links(values.select("fingerprint"), radius)
+    for side in "ab":
+        found = found.join(values.select(F.col("fingerprint").alias(side), F.col("least").alias(f"row_{side}")), side)
+    same = sets.select("row", "fingerprint").join(values.where("n > 1"), "fingerprint").where("row <> least")
+    return found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).unionByName(same.select(F.col("row").alias("a"), F.col("least").alias("b")))
 
 
 def _possible(batches: Iterable) -> Iterator:
-    """mapInArrow: (a, b, n_a, n_b, wide_a, wide_b) to the (a, b) that may be near copies."""
+    """mapInArrow: (a, b, n_a, n_b, wide_a, wide_b) to the (a, b) that may be near copies by their parities: sets of
+    similarity s differ in (n + m)(1 - s)/(1 + s) shingles at most, so parities of classes of shingles in no more."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-        wide = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, CLASSES // 64) for k in (4, 5))
-        at = pa.array(np.flatnonzero(_may_be_near(n_a, n_b, _differing(*wide).sum(1, dtype=np.int64))))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, CLASSES // 64) for k in (4, 5))
+        differing = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        at = pa.array(np.flatnonzero(differing * (1 + SIMILARITY) <= (n_a + n_b) * (1 - SIMILARITY) + 1e-6))
         yield pa.RecordBatch.from_pydict({"a": batch.column(0).take(at), "b": batch.column(1).take(at)})
 
 
+def _verified(batches: Iterable) -> Iterator:
+    """mapInArrow: (b, salt, member, row, text), each b's own text before its members', to the links (a, b)."""
+    import pyarrow as pa
+
+    mine, own = None, None
+    for batch in batches:
+        for low in range(0, batch.num_rows, 200):
+            part = batch.slice(low, 200)
+            found = []
+            for b, member, row, text in zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if not member:
+                    mine, own = b, shingles(text)
+                elif mine != b:
+                    raise ValueError(f"the text of row {b} is missing")
+                elif _similarity(own, shingles(text)) >= SIMILARITY:
+                    found.append((row, b))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def _links_on_texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: the different pairs of rows, without known ones, that are near copies by their whole texts."""
+    """(a, b), a > b: the different pairs of rows, without known ones, that are near copies by their whole texts. A text
+    goes once to each task that holds others against it, and once for each pair in which it is held against one."""
 
     def ordered(p: DataFrame) -> DataFrame:
-        return p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return p.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
+    spark = docs.sparkSession
     pairs = ordered(pairs).distinct()
     pairs = pairs.join(ordered(known), ["a", "b"], "left_anti") if known is not None else pairs
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
     pairs = stage(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_possible, "a long, b long"), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = stage(docs.select("row", "text").join(wanted, "row", "left_semi"), "near-texts")
-    for side in "ab":
-        pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").alias("salt"))
+    held = salted.select("b", "salt", F.lit(True).alias("member"), F.col("a").alias("row"))
+    own = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("b").alias("row"))
+    texts = held.unionByName(own).join(docs, "row").select("b", "salt", "member", "row", "text")
+    texts = texts.repartition(partitions(spark), "b", "salt").sortWithinPartitions("b", "salt", "member")
+    out = stage(texts.mapInArrow(_verified, "a long, b long"), "near-links")
+    release(pairs)
+    return out
 
 
 def near_deduplicate(docs: DataFrame) -> DataFrame:
     """Documents without those that are near copies of an earlier row linked to them: the row with the least doc_id of
-    each component stays, of equal ones the first. docs must come from a written table."""
+    each component stays, of equal ones the first. docs must come from a written table, whose rows are numbered by where
+    they stand in its files."""
     numbered = docs.withColumn("__el_row", F.monotonically_increasing_id())
     parts = stage(near_components(numbered.select(F.col("__el_row").alias("row"), "text")), "near-components")
     of = parts.join(numbered.select(F.col("__el_row").alias("row"), "doc_id"), "row")
     stays = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     goes = of.select("component", "row").join(stays, "component").where("row <> first.row").select(F.col("row").alias("__el_row"))
-    return numbered.join(goes, "__el_row", "left_anti").select(*docs.columns)
+    return numbered.join(goes, "__el_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
