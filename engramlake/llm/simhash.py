@@ -22,6 +22,7 @@ Columns besides doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -276,6 +277,7 @@ SIDE = 8192  # a group with more than SIDE**2 comparisons is dealt over tasks
 CLASSES = 1024  # of shingles, by hash, whose parities are held for a text
 NO_WORDS = 0  # the key of all texts without words
 SMALL = 16  # groups up to this size are compared together
+FORESTS = 3
 MEMBERS = 2000  # texts that are held against one in a task, about
 
 
@@ -401,17 +403,50 @@ def _groups(key, row, n, at):
         yield {"key": key[own], "row": row[own], "n": n[own], "at": at[own], "least": row[first][own], "size": size[own].astype(np.int64), "may": may[own]}
 
 
-def _group_pairs(key, salt, cross, row, n, at, label):
-    """Pairs of rows of a group that have different labels and may be near copies; of a cross of two salts, only pairs
-    with one row of each. Sorted by key and label."""
+def _forests(x, y, labels):
+    """Numbers of the pairs (x, y) that make spanning forests over what labels (one array for each forest, changed here)
+    leave apart: a pair is in the first forest that it joins parts of."""
+    import numpy as np
+
+    left = np.arange(len(x))
+    for own in labels:
+        taken = []
+        while True:
+            a, b = own[x[left]], own[y[left]]
+            apart = np.flatnonzero(a != b)
+            if not len(apart):
+                break
+            first = apart[np.unique(np.maximum(a, b)[apart], return_index=True)[1]]
+            to = np.arange(len(own))
+            to[np.maximum(a, b)[first]] = np.minimum(a, b)[first]
+            while (to[to] != to).any():
+                to = to[to]
+            own[:] = to[own]
+            taken.append(left[first])
+            left = np.delete(left, first)
+        yield from taken
+
+
+def _group_pairs(whole: bool):
+    """Work of _by_group: pairs of rows of a group that have different labels and may be near copies, in groups of more than
+    SMALL by their parities too (wide); of a cross of two salts, only pairs with one row of each. Sorted by cell and label.
+    whole: all such pairs; else in those groups FORESTS spanning forests of them, which join what all would, even if some
+    prove to be no near copies, and are no more than FORESTS times the rows."""
+
+    def run(*columns):
+        return _pairs_of_groups(whole, *columns)
+
+    return run
+
+
+def _pairs_of_groups(whole, key, salt, cross, row, n, at, label, wide):
     import numpy as np
 
     n = n.astype(np.int64)
 
     def pairs(i, j):
         keep = (label[i] != label[j]) & ((salt[i] != salt[j]) | ~cross[i])
-        keep &= _may_be_near(n[i], n[j], at[i], at[j])
-        return {"a": np.broadcast_to(row[i], keep.shape)[keep], "b": np.broadcast_to(row[j], keep.shape)[keep]}
+        return keep & _may_be_near(n[i], n[j], at[i], at[j])
 
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
@@ -420,18 +455,31 @@ def _group_pairs(key, salt, cross, row, n, at, label):
         i = np.flatnonzero((key[d:] == key[:-d]) & small[d:]) if len(key) > d else np.zeros(0, int)
         if not len(i):
             break
-        yield pairs(i, i + d)
+        i = i[pairs(i, i + d)]
+        yield {"a": row[i], "b": row[i + d]}
     for s, e in zip(starts[sizes > SMALL].tolist(), (starts + sizes)[sizes > SMALL].tolist()):
-        for low in range(s, e, 256):
-            i = np.arange(low, min(e, low + 256))
+        bits = np.frombuffer(b"".join(wide[s:e]), np.uint64).reshape(-1, CLASSES // 64)
+        parts = [np.unique(label[s:e], return_inverse=True)[1] for _ in range(0 if whole else FORESTS)]
+        for low in range(s, e, 128):
+            i = np.arange(low, min(e, low + 128))
             # What has the label of the first row comes at once, and is left out if all of the rows have it.
             begin = s + int(np.searchsorted(label[s:e], label[low], "right")) if label[low] == label[i[-1]] else low
-            for to in range(begin, e, 1 << 14):
-                j = np.arange(to, min(e, to + (1 << 14)))
-                x, y = np.broadcast_arrays(i[:, None], j[None, :])
-                got = pairs(x, y) if to > i[-1] else pairs(x[x < y], y[x < y])
-                if len(got["a"]):
-                    yield got
+            for to in range(begin, e, 2048):
+                j = np.arange(to, min(e, to + 2048))
+                x, y = np.nonzero((i[:, None] < j[None, :]) & pairs(i[:, None], j[None, :]))
+                x, y = i[x], j[y]
+                near = _parities_allow(bits[x - s] ^ bits[y - s], n[x] + n[y])
+                x, y = x[near], y[near]
+                for some in [slice(None)] if whole else _forests(x - s, y - s, parts):
+                    if len(x[some]):
+                        yield {"a": row[x[some]], "b": row[y[some]]}
+
+
+def _parities_allow(differing, sizes):
+    """Sets of similarity s differ in (n + m)(1 - s)/(1 + s) shingles at most, so parities of classes of them in no more."""
+    import numpy as np
+
+    return np.bitwise_count(differing).sum(1, dtype=np.int64) * (1 + SIMILARITY) <= sizes * (1 - SIMILARITY) + 1e-6
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -452,8 +500,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     Candidates come from the Gray-order index over the fingerprints of these shingles, which finds the closest copies, and
     from a join that loses no pair: all pairs with a shingle in common among the rarest of each (see prefix), without those
     that sizes, places or parities rule out. In a group of rows with a shingle in common each is held against the least row
-    first; what the links so far leave in different components is then compared, all against all, groups with many such
-    comparisons in pairs of slices. Each candidate pair is verified on the whole texts.
+    first; of what the links so far leave in different components, spanning forests come next, and then all pairs that are
+    still open, groups with many such comparisons in pairs of slices. Each candidate pair is verified on the whole texts.
     docs: (row, text) from a written table, row unique."""
     spark = docs.sparkSession
     docs = docs.select("row", "text")
@@ -464,23 +512,34 @@ def near_components(docs: DataFrame) -> DataFrame:
     many = stage(dealt.mapInArrow(_by_group(_groups), "key long, row long, n int, at int, least long, size long, may boolean"), "near-groups")
     star = many.where("may").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct()
     near = stage(star.unionByName(index_links(sets)), "near-first-pairs")
-    first = _links_on_texts(docs, sets, near)
-    # What the first links leave open in the groups: all pairs without the least row.
-    parts = connected_components(first)
+    tried, found = [near], [_links_on_texts(docs, sets, near)]
+    for whole in (False, True):
+        pairs = _open_pairs(many, sets, reduce(DataFrame.unionByName, found), whole)
+        found.append(_links_on_texts(docs, sets, pairs, reduce(DataFrame.unionByName, tried)))
+        tried.append(pairs)
+    out = connected_components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "row")
+    release(sets, many, *tried, *found)
+    return out
+
+
+def _open_pairs(many: DataFrame, sets: DataFrame, links: DataFrame, whole: bool) -> DataFrame:
+    """(a, b): pairs of rows of the groups, without the least row, that links leave in different components and that may be
+    near copies: all of them, or forests (see _group_pairs)."""
+    parts = connected_components(links)
     rest = many.where("size > 2 and row <> least").join(parts.withColumnRenamed("node", "row"), "row", "left")
-    rest = stage(rest.select("key", "row", "n", "at", F.coalesce("component", "row").alias("label")), "near-rest")
-    release(many)
+    rest = stage(rest.select("key", "row", "n", "at", "size", F.coalesce("component", "row").alias("label")), "near-rest")
     sizes = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("labels"))
     sizes = sizes.where("labels > 1").select("key", F.ceil(F.sqrt(F.col("n") * (F.col("n") - F.col("most"))) / SIDE).cast("int").alias("salts"))
-    grid = in_slices(rest.join(sizes, "key", "left_semi"), sizes, "key", "row")
-    grid = grid.select("cell", "salt", (F.col("salt") != F.col("other")).alias("cross"), "row", "n", "at", "label")
-    grid = grid.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "label")
-    pairs = grid.mapInArrow(_by_group(_group_pairs), "a long, b long")
-    second = _links_on_texts(docs, sets, pairs, near)
-    release(rest, near, sets)
-    out = connected_components(first.unionByName(second)).withColumnRenamed("node", "row")
-    release(first, second)
-    return out
+    open_ = rest.join(sizes, "key", "left_semi")
+    wide = open_.where(F.col("size") > SMALL).join(sets.select("row", "wide"), "row")
+    open_ = open_.where(F.col("size") <= SMALL).withColumn("wide", F.lit(None).cast("binary")).unionByName(wide)
+    grid = in_slices(open_, sizes, "key", "row")
+    grid = grid.select("cell", "salt", (F.col("salt") != F.col("other")).alias("cross"), "row", "n", "at", "label", "wide")
+    grid = grid.repartition(partitions(many.sparkSession), "cell").sortWithinPartitions("cell", "label", "row")
+    pairs = grid.mapInArrow(_by_group(_group_pairs(whole)), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = stage(pairs, "near-open-pairs")
+    release(rest)
+    return pairs
 
 
 def index_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -494,8 +553,7 @@ def index_links(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _possible(batches: Iterable) -> Iterator:
-    """mapInArrow: (a, b, n_a, n_b, wide_a, wide_b) to the (a, b) that may be near copies by their parities: sets of
-    similarity s differ in (n + m)(1 - s)/(1 + s) shingles at most, so parities of classes of shingles in no more."""
+    """mapInArrow: (a, b, n_a, n_b, wide_a, wide_b) to the (a, b) that may be near copies by their parities."""
     import numpy as np
     import pyarrow as pa
 
@@ -504,8 +562,7 @@ def _possible(batches: Iterable) -> Iterator:
             continue
         n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, CLASSES // 64) for k in (4, 5))
-        differing = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        at = pa.array(np.flatnonzero(differing * (1 + SIMILARITY) <= (n_a + n_b) * (1 - SIMILARITY) + 1e-6))
+        at = pa.array(np.flatnonzero(_parities_allow(x ^ y, n_a + n_b)))
         yield pa.RecordBatch.from_pydict({"a": batch.column(0).take(at), "b": batch.column(1).take(at)})
 
 
