@@ -6,10 +6,13 @@ of its own into a new archive, with a sidecar index: offset, length, page_id and
 
 Payloads that are equal and have MIN_REVISIT bytes at least are written once, as the response of the least page_id; the
 others are revisit records that name it. Roles are decided from digests alone (grouped with partial counts, so a large
-group of copies moves one row a task), then joined to the pages by (page_id, digest), which is even.
+group of copies moves one row a task), and the revisits of each partition of the pages are put in a table of its own,
+by their place in it. The task that writes a partition's archive reads that table, so no html is shuffled; it fails
+where a digest isn't that of the row in this place, should a partition ever be cut otherwise.
 
 Archives are written under names of the attempt's own and then renamed, so a task that runs again replaces its file
-whole. Monolithic archives go when their normalised form is complete.
+whole. A monolithic archive goes as soon as its normalised form is in place; a task that runs again and finds only that
+form takes it as it stands.
 
 Null and empty html is an empty payload. A null url or page_id is left out of the record and read back as null.
 Repeated rows with the least id of their payload are responses all. An empty table gives no archives and no rows.
@@ -27,7 +30,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from engramlake.llm.records import file_system
-from engramlake.session import new_folder, partitions, stage
+from engramlake.session import new_folder, partitions, release, stage
 
 MIN_REVISIT = 100  # bytes
 LEVEL = 1  # of compression
@@ -150,13 +153,50 @@ def opened(member: bytes) -> tuple:
 # --- archives ----------------------------------------------------------------------------------------------------
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of every page: refers_to is null for responses."""
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    d = stage(pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size")), "payloads")
-    least = d.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    with_least = d.join(least.drop("n"), "digest", "left")
-    return with_least.select("page_id", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to")).distinct()
+def _placed(pages: DataFrame) -> DataFrame:
+    """(part, at, page_id, digest, size): partition and place in it of every page, and its payload's SHA-256 and length."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                own = batch.slice(low, 256)
+                payloads = [(t or "").encode() for t in own.column(2).to_pylist()]
+                n = len(payloads)
+                columns = [pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), own.column(0), pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()), pa.array(map(len, payloads), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "at", "page_id", "digest", "size"])
+                at += n
+
+    return pages.mapInArrow(run, "part int, at long, page_id long, digest binary, size long")
+
+
+def write_revisits(pages: DataFrame, folder: str) -> None:
+    """Tables (at, digest, refers_to) in folder/part=N of the pages of partition N that are revisits."""
+    d = stage(_placed(pages), "payloads")
+    least = d.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = d.join(least, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
+    again.select("part", "at", "digest", "refers_to").repartition(partitions(pages.sparkSession), "part").sortWithinPartitions("part", "at").write.partitionBy("part").parquet(folder)
+    release(d)
+
+
+def _revisits(folder: str, part: int) -> dict[int, tuple[bytes, int]]:
+    import pyarrow.parquet as pq
+
+    store, path = file_system(f"{folder}/part={part}")
+    if store.get_file_info(path).type.name == "NotFound":
+        return {}
+    from pyarrow.fs import FileSelector
+
+    found: dict[int, tuple[bytes, int]] = {}
+    for f in store.get_file_info(FileSelector(path)):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as s:
+                t = pq.ParquetFile(s).read(columns=["at", "digest", "refers_to"])
+            found.update(zip(t["at"].to_pylist(), zip(t["digest"].to_pylist(), t["refers_to"].to_pylist())))
+    return found
 
 
 def _attempt(store, path: str, name: str):
@@ -166,32 +206,38 @@ def _attempt(store, path: str, name: str):
 
 def write_monolithic(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """One gzip stream a partition; gives their list (path)."""
-    spark = pages.sparkSession
-    folder = folder or new_folder(spark, "warc")
+    folder = folder or new_folder(pages.sparkSession, "warc")
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
-    html = F.coalesce("html", F.lit(""))
-    p = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("_digest"))
-    r = roles(pages).select(F.col("page_id").alias("_id"), "digest", "refers_to")
-    rows = p.join(r, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("digest"))).select("page_id", "url", "html", "digest", "refers_to")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    roles = new_folder(pages.sparkSession, "revisits")
+    write_revisits(rows, roles)
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         store, path = file_system(folder)
-        out = own = None
+        part, at = TaskContext.get().partitionId(), 0
+        again, out, own = _revisits(roles, part), None, None
         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                for page_id, url, text, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns)):
+                for page_id, url, text in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns)):
                     if out is None:
                         own, out = _attempt(store, path, "mono")
-                    payload = text.encode()
-                    out.write(pack.compress(record(page_id, url, payload, len(payload), digest, refers_to)))
+                    payload = (text or "").encode()
+                    digest = hashlib.sha256(payload)
+                    known, refers_to = again.pop(at, (None, None))
+                    if known not in (None, digest.digest()):
+                        raise ValueError(f"row {at} of partition {part} isn't the one that was read before")
+                    out.write(pack.compress(record(page_id, url, payload, len(payload), digest.hexdigest(), refers_to)))
+                    at += 1
+        if again:
+            raise ValueError(f"partition {part} has lost rows since it was read before")
         if out is not None:
             out.write(pack.flush())
             out.close()
-            name = f"mono-{TaskContext.get().partitionId():05d}.warc.gz"
+            name = f"mono-{part:05d}.warc.gz"
             store.move(own, f"{path}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
 
@@ -199,7 +245,8 @@ def write_monolithic(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def normalise_all(archives: DataFrame, keep: bool = False) -> DataFrame:
-    """(path, index_path, n_records) of the normalised forms of archives (path); the monolithic ones go unless kept."""
+    """(path, index_path, n_records) of the normalised forms of archives (path); each monolithic one goes when its members
+    and their index are in place, unless kept."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -208,30 +255,24 @@ def normalise_all(archives: DataFrame, keep: bool = False) -> DataFrame:
             for uri in batch.column(0).to_pylist():
                 store, path = file_system(uri)
                 folder, _, name = path.rpartition("/")
-                new = [f"{'' if x else 'members-'}{name.removesuffix('.warc.gz')}{x or '.warc.gz'}" for x in ("", ".index")]
-                (a, out), (b, index) = (_attempt(store, folder, x) for x in ("members", "index"))
-                with store.open_input_stream(path, compression=None) as stream:
-                    n = normalise(stream, out, index)
-                for own, s, to in ((a, out, new[0]), (b, index, new[1])):
-                    s.close()
-                    store.move(own, f"{folder}/{to}")
+                new = [f"members-{name}", f"{name.removesuffix('.warc.gz')}.index"]
+                if store.get_file_info(path).type.name == "NotFound":  # an earlier attempt was through with it
+                    n = store.get_file_info(f"{folder}/{new[1]}").size // struct.calcsize(ENTRY)
+                else:
+                    (a, out), (b, index) = (_attempt(store, folder, x) for x in ("members", "index"))
+                    with store.open_input_stream(path, compression=None) as stream:
+                        n = normalise(stream, out, index)
+                    for own, s, to in ((a, out, new[0]), (b, index, new[1])):
+                        s.close()
+                        store.move(own, f"{folder}/{to}")
+                    if not keep:
+                        store.delete_file(path)
                 at = uri.rpartition("/")[0]
                 yield pa.RecordBatch.from_pydict({"path": [f"{at}/{new[0]}"], "index_path": [f"{at}/{new[1]}"], "n_records": pa.array([n], pa.int64())})
 
     spark = archives.sparkSession
-    done = stage(archives.select("path").repartition(max(1, partitions(spark))).mapInArrow(run, "path string, index_path string, n_records long"), "warc-members")
-
-    def remove(batches: Iterable) -> Iterator:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                store, path = file_system(uri)
-                if store.get_file_info(path).type.name != "NotFound":
-                    store.delete_file(path)
-            yield batch
-
-    if not keep:
-        archives.select("path").mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
-    return done
+    # Tasks of even work: archives, which are about as large as the partitions they were written from, one by one.
+    return stage(archives.select("path").repartition(max(1, partitions(spark))).mapInArrow(run, "path string, index_path string, n_records long"), "warc-members")
 
 
 def read(archives: DataFrame) -> DataFrame:
