@@ -22,8 +22,8 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document a mix by source takes."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """How many words of each document a mix by source takes, and in which slot first."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("slots")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
