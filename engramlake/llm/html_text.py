@@ -1,14 +1,17 @@
 """Main text of web pages by text-to-tag ratios of lines, from the standard library's streaming parser.
 
 The parser's events make lines: text between tags that break the flow, with the tags that stood in it. A line's ratio
-is its text's length by its number of tags. Ratios are smoothed with a Gaussian over neighbouring lines, so that short
-lines among long ones count as content and single long ones among menus don't; lines beyond a threshold (a share of
-the ratios' standard deviation) are clustered, and the sections that hold a cluster with a line that is beyond it by
-itself are the content, whole. Elements
-that are never content by their name or role (menus, page headers and footers, sidebars, forms, scripts, hidden ones)
-and those whose class or id says so (adverts, notices, comments, related links) make no lines. Where a page names its
-article or main part, the lines in it are the content, all of them, whatever their ratios; headers and notices there are
-its own, and what a heading's id says is its subject.
+is its text's length by its number of tags; what a page names its article or main part weighs MAIN_WEIGHT times as much,
+a help that ratios need no more than that. Ratios are smoothed with a Gaussian over neighbouring lines, so that short
+lines among long ones count as content and single long ones among menus don't. Lines beyond a threshold (a share of the
+ratios' standard deviation), both smoothed and by themselves, are the cores of clusters, and the regions that hold a core
+are the content: a named part whole, whatever its lines' ratios; else a section, with the sections below their common
+parent (if that isn't the page's body) that are in the same smoothed cluster or stand between cores. No line of a chosen region is left out. Every page has a
+core: the line with the largest ratio is one by necessity.
+
+Elements that are never content by their name or role (menus, page headers and footers, sidebars, forms, scripts, hidden
+ones) and those whose class or id says nothing else than that (adverts, notices, comments, related links) make no lines.
+In a named part headers and notices are its own, and what a heading's id says is its subject.
 
 Null and empty html gives an empty text, as does a page without content. Unclosed elements end with their parents.
 Repeated rows give repeated results; an empty table gives no rows. Columns besides page_id, url and html are not read.
@@ -17,6 +20,7 @@ Repeated rows give repeated results; an empty table gives no rows. Columns besid
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -24,7 +28,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, functions as F
 
 PAGES = "page_id long, url string, text string, n_chars long"
-SIGMA, THRESHOLD = 1.0, 0.5
+SIGMA, THRESHOLD, MAIN_WEIGHT = 1.0, 0.5, 10
 
 # Names of the markup language, and words that classes and ids have.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,23 +51,33 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the same kind ends where one of these begins.
 ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 PART = re.compile(r"[a-z]+")
+#: What may stand beside such a word in a name that says no more than the word.
+BESIDE = frozenset(
+    "a area article articles bar block body bottom box btn button buttons center col column container content first full group head icon icons inner item items js last left"
+    " link links list main mobile module outer page panel post posts right row section side site slot small sticky story stories text title top unit wrap wrapper zone".split()
+)
 
 
 @lru_cache(maxsize=10_000)
 def _names_boilerplate(value: str, main: bool = False) -> bool:
-    return not (WORDS - OWN_IN_MAIN if main else WORDS).isdisjoint(PART.findall(value.lower()))
+    """Whether one of the names, as of classes, has a word of WORDS and none but those and such as stand beside them."""
+    words = WORDS - OWN_IN_MAIN if main else WORDS
+    parts = (PART.findall(name.lower()) for name in value.split())
+    return any(not words.isdisjoint(p) and all(x in WORDS or x in BESIDE for x in p) for p in parts)
 
 
 class Lines(HTMLParser):
-    """lines: [text, number of tags, section, whether in the main part]."""
+    """lines: [text, number of tags, section, number of the named part or 0]; parents: of each section."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, no content, section, in the main part
+        self.open: list[tuple[str, bool, int, int]] = []  # name, no content, section, named part
+        self.names: Counter[str] = Counter()  # of what is open
         self.lines: list[list] = []
         self.text: list[str] = []
-        self.tags = self.sections = 0
-        self.out, self.section, self.main = False, 0, False
+        self.parents = [0]
+        self.tags = 0
+        self.out, self.section, self.main = False, 0, 0
 
     def flush(self) -> None:
         if self.text:
@@ -82,15 +96,17 @@ class Lines(HTMLParser):
         if tag in ENDS and self.open and self.open[-1][0] in ENDS[tag].split():
             self.close_last()
         self.open.append((tag, self.out, self.section, self.main))
+        self.names[tag] += 1
         if self.out:
             return
         if tag in NEVER or tag == "header" and not self.main or attrs and self.hidden(tag, attrs):
             self.flush()
             self.out = True
         elif tag in SECTIONS:
-            self.sections += 1
-            self.section = self.sections
-            self.main = self.main or tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
+            self.parents.append(self.section)
+            self.section = len(self.parents) - 1
+            if not self.main and (tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)):
+                self.main = self.section
 
     def hidden(self, tag: str, attrs: list) -> bool:
         if tag in ("body", "html"):
@@ -99,12 +115,13 @@ class Lines(HTMLParser):
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in ROLES:
                 return True
             named = k in ("class", "id") and tag not in MAIN and not (self.main and k == "id" and tag in HEADINGS)
-            if v and (named and _names_boilerplate(v, self.main) or k == "style" and "display:none" in v.replace(" ", "").lower()):
+            if v and (named and _names_boilerplate(v, bool(self.main)) or k == "style" and "display:none" in v.replace(" ", "").lower()):
                 return True
         return False
 
     def close_last(self) -> None:
-        out, self.section, self.main = self.open.pop()[1:]
+        tag, out, self.section, self.main = self.open.pop()
+        self.names[tag] -= 1
         if self.out and not out:
             self.text = []
         self.out = out
@@ -114,7 +131,7 @@ class Lines(HTMLParser):
             self.tags += 1
             if tag in BREAKS:
                 self.flush()
-        if any(x[0] == tag for x in reversed(self.open)):
+        if self.names[tag]:
             while self.open[-1][0] != tag:
                 self.close_last()
             self.close_last()
@@ -141,18 +158,41 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if any(x[3] for x in lines):
-        return " ".join(x[0] for x in lines if x[3])
-    if not lines:
-        return ""
+    return " ".join(x[0] for x in content(parser.lines, parser.parents))
+
+
+def content(lines: list[list], parents: list[int]) -> list[list]:
+    """The lines of the regions that hold a core."""
     import numpy as np
 
-    ratios = [len(x[0]) / max(1, x[1]) for x in lines]
-    soft = smoothed(ratios)
-    least = THRESHOLD * np.std(ratios)
-    content = {x[2] for x, r, s in zip(lines, ratios, soft) if r >= least and s >= least}
-    return " ".join(x[0] for x in lines if x[2] in content)
+    if not lines:
+        return []
+    ratios = np.array([len(x[0]) / max(1, x[1]) * (MAIN_WEIGHT if x[3] else 1) for x in lines])
+    soft, least = smoothed(ratios), THRESHOLD * np.std(ratios)
+    near = soft >= least
+    core = np.flatnonzero(near & (ratios >= least))
+    named, sections = {lines[i][3] for i in core} - {0}, {lines[i][2] for i in core}
+    # Sections of smoothed clusters that reach a core: neighbouring lines, one after the other.
+    runs = np.cumsum(np.r_[True, near[1:] != near[:-1]])
+    held = set(runs[core].tolist())
+    joined = {x[2] for x, run, ok in zip(lines, runs.tolist(), near.tolist()) if ok and run in held}
+    # By section: the first and the last core in it or in any section below.
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i in core.tolist():
+        at = lines[i][2]
+        while True:
+            first.setdefault(at, i)
+            last[at] = i
+            if not at:
+                break
+            at = parents[at]
+
+    def beside(i: int, section: int) -> bool:
+        up = parents[section]
+        return up > 1 and up in first and (section in joined or first[up] < i < last[up])  # 0 is the page, 1 its body
+
+    return [x for i, x in enumerate(lines) if (x[3] in named if x[3] else x[2] in sections or beside(i, x[2]))]
 
 
 def extract(pages: DataFrame) -> DataFrame:
