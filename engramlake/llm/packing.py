@@ -6,11 +6,12 @@ a few badly filled bins and best-fits their pieces anew. Fitness is the number o
 
 Pieces of the full length are sequences as they are. All others are dealt evenly into neighbourhoods of a bounded
 number of pieces by their row number (so copies and hot sources spread). Several islands evolve each neighbourhood, in
-tasks of their own, from differently perturbed best-fit-decreasing packings; after each epoch every island's elite is
-written to the shared folder and read by its neighbour island, which goes on with both elites. A neighbourhood is done
-when it meets its lower bound, ceil(sum / capacity). Then the bins that are not well filled of all neighbourhoods are
-dissolved and their pieces evolve again in fewer neighbourhoods, until these have no more to give. So memory and time
-of a task are bounded, and the waste is about one partly filled bin for a neighbourhood of the last round.
+tasks of their own, from differently perturbed best-fit packings, for FIRST generations at least; after each epoch every
+island's elite is written to the shared folder and read by its neighbour island, which goes on with both elites. A
+neighbourhood is done when it meets its lower bound, ceil(sum / capacity), or after EPOCHS. Then the bins that are not
+well filled of all neighbourhoods are dissolved and their pieces evolve again in fewer neighbourhoods, until these have no
+more to give. So memory and time of a task are bounded, and the waste is about one partly filled bin for a neighbourhood
+of the last round. The result says how many generations and migrations each piece's packing went through.
 
 Null and empty texts give one piece of the end id alone. Null ids and repeated rows are pieces like any others (a
 piece is known by its row, not its id). An empty table gives no rows. Columns besides doc_id and text are not read.
@@ -23,13 +24,15 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from engramlake.session import stage
+from engramlake.session import partitions, release, stage
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of a neighbourhood, islands for each, epochs between which elites migrate, generations in an epoch, packings
 #: on an island.
 NEIGHBOURHOOD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 6, 4
+#: Generations that every island goes through, even if a packing to begin with meets the bound.
+FIRST = 1
 #: A bin is well filled from this share of the capacity on; others are dissolved for the next round.
 WELL_FILLED, ROUNDS = 0.99, 3
 
@@ -116,34 +119,32 @@ def mutate(lengths: list[int], bins: list[list[int]], capacity: int, rng) -> lis
     return best_fit(lengths, loose, capacity, kept, [capacity - _fill(lengths, b) for b in kept])
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
-    """The best packing that an island finds; elites: packings to begin with."""
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), generations: int = GENERATIONS, population: int = POPULATION) -> tuple[list[list[int]], int]:
+    """The best packing that an island finds, and after how many generations; elites: packings to begin with."""
     from random import Random
 
     rng, bound = Random(seed), -(-sum(lengths) // capacity)
     group = [[list(b) for b in e] for e in elites]
-    best = min(group, key=lambda g: fitness(lengths, g), default=None)
-    while (best is None or len(best) > bound) and len(group) < population:
-        spread = 0.0 if not group and not elites and seed % ISLANDS == 0 else 0.15  # the first is best-fit decreasing itself
+    while len(group) < max(2, population):
+        spread = 0.0 if not group and seed % ISLANDS == 0 else 0.15  # the first is best-fit decreasing itself
         order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * (1 + spread * rng.random()))
         group.append(best_fit(lengths, order, capacity))
-        best = min(group, key=lambda g: fitness(lengths, g))
-    for _ in range(generations):
-        if len(best) <= bound:
-            break
+    marks = [fitness(lengths, g) for g in group]
+    for n in range(generations):
+        if n >= FIRST and min(marks)[0] <= bound:
+            return group[marks.index(min(marks))], n
         a, b = rng.sample(range(len(group)), 2)
         for x, y in ((a, b), (b, a)):
             child = mutate(lengths, crossover(lengths, group[x], group[y], capacity, rng), capacity, rng)
-            worst = max(range(len(group)), key=lambda k: fitness(lengths, group[k]))
-            if fitness(lengths, child) < fitness(lengths, group[worst]):
-                group[worst] = child
-        best = min(group, key=lambda g: fitness(lengths, g))
-    return best
+            worst, mark = marks.index(max(marks)), fitness(lengths, child)
+            if mark < marks[worst]:
+                group[worst], marks[worst] = child, mark
+    return group[marks.index(min(marks))], generations
 
 
 # --- all of them -------------------------------------------------------------------------------------------------
 
-SOLUTION = "place long, island int, row long, length long, bin int, n_bins int, open boolean"
+SOLUTION = "place long, island int, row long, length long, bin int, n_bins int, open boolean, generations int, migrations int"
 
 
 def _island(capacity: int, islands: int, seed: int):
@@ -163,69 +164,73 @@ def _island(capacity: int, islands: int, seed: int):
                 bins.setdefault(b, []).append(i)
             elites.append([bins[b] for b in sorted(bins)])
         place, island = int(pdf["place"].iloc[0]), int(pdf["island"].iloc[0])
-        best = evolve(lengths, capacity, (seed + place) * islands + island, elites)
+        best, n = evolve(lengths, capacity, (seed + place) * islands + island, elites)
         number = [0] * len(lengths)
         for k, b in enumerate(best):
             for i in b:
                 number[i] = k
-        return pd.DataFrame({"place": place, "island": island, "row": rows, "length": lengths, "bin": number, "n_bins": len(best), "open": len(best) > -(-sum(lengths) // capacity)})
+        return pd.DataFrame({"place": place, "island": island, "row": rows, "length": lengths, "bin": number, "n_bins": len(best), "open": len(best) > -(-sum(lengths) // capacity), "generations": int(pdf["generations"].max()) + n, "migrations": int(pdf["migrations"].max()) + bool(elites)})
 
     return run
 
 
-def _evolved(items: DataFrame, capacity: int, neighbourhood: int, seed: int) -> DataFrame:
-    """(place, row, length, bin) for items (row, length): each neighbourhood's best packing."""
-    n = items.count()
+def _evolved(items: DataFrame, n: int, capacity: int, neighbourhood: int, seed: int) -> DataFrame:
+    """(place, row, length, bin, generations, migrations) for n items (row, length): each neighbourhood's best packing."""
     places = max(1, -(-n // neighbourhood))
+    tasks = max(partitions(items.sparkSession), min(places * ISLANDS, 10_000))  # of like work, which their bytes don't tell
+
+    def islands(rows: DataFrame, seed: int) -> DataFrame:
+        return rows.repartition(tasks, "place", "island").groupBy("place", "island").applyInPandas(_island(capacity, ISLANDS, seed), SOLUTION)
+
     dealt = items.select(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(places)).alias("place"), "row", "length")
-    # The first island of each neighbourhood goes ahead; only where it leaves something do the others begin.
-    begin = dealt.select("*", F.lit(0).alias("island"), F.lit(-1).alias("elite"), F.lit(0).alias("bin"))
-    found = stage(begin.groupBy("place", "island").applyInPandas(_island(capacity, ISLANDS, seed), SOLUTION), "island-0")
-    done = [found.where("not open")]
-    left = found.where("open")
-    for epoch in range(1, EPOCHS + 1):
-        if not left.limit(1).count():
+    none = [F.lit(v).alias(c) for v, c in ((-1, "elite"), (0, "bin"), (0, "generations"), (0, "migrations"))]
+    begin = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), *none)
+    found = stage(islands(begin, seed), "islands-0")
+    done = []
+    for epoch in range(EPOCHS + 1):
+        best = found.groupBy("place").agg(F.min(F.struct("n_bins", "island")).alias("_best"), F.min("open").alias("_open"))
+        best = stage(found.join(best, "place"), "elites")
+        release(found)
+        of = (F.col("n_bins") == F.col("_best.n_bins")) & (F.col("island") == F.col("_best.island"))
+        last = epoch == EPOCHS
+        done.append(best.where(of if last else of & ~F.col("_open")))
+        if last or not best.where("_open").limit(1).count():
             break
-        if epoch == 1:
-            others = left.select("place", "row", "length", F.explode(F.sequence(F.lit(1), F.lit(ISLANDS - 1))).alias("island"), F.lit(-1).alias("elite"), F.lit(0).alias("bin"))
-            fresh = others.groupBy("place", "island").applyInPandas(_island(capacity, ISLANDS, seed), SOLUTION)
-            left = stage(left.unionByName(fresh), "islands")
         # Elites migrate: each island goes on with its own and its neighbour's.
-        home = left.select("place", "island", "row", "length", "bin", F.col("island").alias("elite"))
-        guest = left.select("place", ((F.col("island") + 1) % ISLANDS).alias("island"), "row", "length", "bin", F.col("island").alias("elite"))
-        found = stage(home.unionByName(guest).groupBy("place", "island").applyInPandas(_island(capacity, ISLANDS, seed + 7919 * epoch), SOLUTION), f"island-{epoch}")
-        left = found
-    if left is not found or len(done) == 1:
-        best = left.groupBy("place").agg(F.min(F.struct("n_bins", "island")).alias("_best"))
-        done.append(left.join(best, "place").where("n_bins = _best.n_bins and island = _best.island").drop("_best"))
+        left = best.where("_open")
+        own = ["row", "length", "bin", F.col("island").alias("elite"), "generations", "migrations"]
+        home, guest = left.select("place", "island", *own), left.select("place", ((F.col("island") + 1) % ISLANDS).alias("island"), *own)
+        found = stage(islands(home.unionByName(guest), seed + 7919 * (epoch + 1)), f"islands-{epoch + 1}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return stage(out.select("place", "row", "length", "bin"), "packed")
+    return stage(out.select("place", "row", "length", "bin", "generations", "migrations"), "packed")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, neighbourhood: int = NEIGHBOURHOOD) -> DataFrame:
-    """The pieces with sequence_id and offset. Pieces must come from a written table and have a length from 1 to capacity."""
+    """The pieces with sequence_id, offset, and the generations and migrations of their neighbourhood's packing (0 of pieces
+    of the full length). Pieces must come from a written table and have a length from 1 to capacity."""
     rows = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "piece-rows")
-    if rows.where(~F.col("length").between(1, capacity) | F.col("length").isNull()).limit(1).count():
+    whole = F.col("length") == capacity
+    seen = rows.agg(F.count_if(~F.col("length").between(1, capacity) | F.col("length").isNull()).alias("wrong"), F.count_if(F.col("length") < capacity).alias("items")).first()
+    if seen["wrong"]:
         raise ValueError(f"a piece has a length outside 1 to {capacity}")
-    parts = [rows.where(F.col("length") == capacity).select("row", F.lit(-1).alias("round"), F.lit(0).cast("long").alias("place"), F.col("row").alias("bin"))]
-    items = rows.where(F.col("length") < capacity).select("row", "length")
+    none = [F.lit(0).alias(c) for c in ("generations", "migrations")]
+    parts = [rows.where(whole).select("row", F.lit(-1).alias("round"), F.lit(0).cast("long").alias("place"), F.col("row").alias("bin"), *none)]
+    items, n = rows.where("length < %d" % capacity).select("row", "length"), seen["items"]
     for k in range(ROUNDS):
-        packed = _evolved(items, capacity, neighbourhood, 104729 * (k + 1))
-        fills = packed.groupBy("place", "bin").agg(F.sum("length").alias("fill"))
-        n, places = fills.count(), packed.select("place").distinct().count()
-        poor = fills.where(F.col("fill") < WELL_FILLED * capacity)
-        again = stage(packed.join(poor, ["place", "bin"]).select("place", "bin", "row", "length", "fill"), "displaced")
+        packed = _evolved(items, n, capacity, neighbourhood, 104729 * (k + 1))
+        fills = packed.groupBy("place", "bin").agg(F.sum("length").alias("fill"), F.count("*").alias("n"))
+        poor = F.col("fill") < WELL_FILLED * capacity
         # Another round can save bins only if the badly filled ones have room for whole bins among different places.
-        spare = again.agg(F.sum("length")).first()[0] or 0
-        bad = again.select("place", "bin").distinct().count()
-        last = k == ROUNDS - 1 or places == 1 or bad <= -(-spare // capacity)
-        kept = packed if last else packed.join(poor, ["place", "bin"], "left_anti")
-        parts.append(kept.select("row", F.lit(k).alias("round"), "place", F.col("bin").cast("long").alias("bin")))
+        had = fills.agg(F.count_distinct("place").alias("places"), F.count_if(poor).alias("bins"), F.sum(F.when(poor, F.col("fill"))).alias("fill"), F.sum(F.when(poor, F.col("n"))).alias("n")).first()
+        last = k == ROUNDS - 1 or had["places"] <= 1 or had["bins"] <= -(-(had["fill"] or 0) // capacity)
+        out = [F.lit(k).alias("round"), "place", F.col("bin").cast("long").alias("bin"), "generations", "migrations"]
         if last:
+            parts.append(packed.select("row", *out))
             break
-        items = again.select("row", "length")
+        parts.append(packed.join(fills.where(poor).select("place", "bin"), ["place", "bin"], "left_anti").select("row", *out))
+        items, n = stage(packed.join(fills.where(poor).select("place", "bin"), ["place", "bin"], "left_semi").select("row", "length"), "displaced"), had["n"]
     where = parts[0]
     for p in parts[1:]:
         where = where.unionByName(p)
@@ -234,4 +239,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, neighbourhood: int = NEIGH
     offset = F.sum("length").over(W.partitionBy(*bin_).orderBy("row").rowsBetween(W.unboundedPreceding, -1))
     # A bin is named by its first row, which no other bin has.
     named = out.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long")).withColumn("sequence_id", F.min("row").over(W.partitionBy(*bin_)))
-    return named.select(*pieces.columns, "sequence_id", "offset")
+    return named.select(*pieces.columns, "sequence_id", "offset", "generations", "migrations")
