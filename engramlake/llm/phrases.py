@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engramlake.session import partitions
 
@@ -169,6 +169,13 @@ def _ranges(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
     return d.withColumn("_to", F.explode(F.coalesce(to, F.array(F.struct("_range", F.lit(False).alias("_tail")))))).select("doc_id", "text", "_key", "_to.*"), len(bounds) + 1
 
 
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that go to n different tasks when rows are dealt by their hash."""
+    ids = spark.range(0, 40 * n + 1000, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id").alias("id"))
+    found = [r["id"] for r in ids.collect()]  # n rows at most
+    return (found * n)[:n]
+
+
 def compare(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """RESULT for every document: its fingerprint, its edited text's, and the likeness of that and of the next one's."""
 
@@ -216,5 +223,6 @@ def compare(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = ranges or partitions(spark)
     dealt, n = _ranges(d, n)
-    dealt = dealt.repartition(n, "_range").sortWithinPartitions("_range", "_tail", F.desc("_key"), "text")
+    dealt = dealt.withColumn("_task", F.get(F.array(*map(F.lit, _apart(spark, n))), "_range"))
+    dealt = dealt.repartition(n, "_task").sortWithinPartitions("_range", "_tail", F.desc("_key"), "text")
     return dealt.select("doc_id", "text", "_range", "_tail").mapInArrow(run, RESULT)

@@ -4,12 +4,12 @@ A shard is a run of frames: length (unsigned 64-bit), masked CRC-32C of these 8
 payload, all little-endian. A payload holds the doc_id, a width and the ids, in 16 bits each where the vocabulary
 allows. Beside each shard, its index has 20 bytes a record: doc_id, offset and length of the frame.
 
-Documents are dealt to shards by ranges of doc_id and stand in ascending order in each, so shard by shard the ids are
-in order over all documents. A shard is written under a name of the attempt's own and then renamed, so a task that
+Documents are dealt to shards by ranges of doc_id, and of a hash of the text where very many share an id, and stand in
+ascending order in each, so shard by shard the ids are in order over all documents. A shard is written under a name of the attempt's own and then renamed, so a task that
 runs again after a lost executor replaces it whole.
 
 Null and empty texts give a sequence of the end id alone. A null doc_id sorts first and is read back as null. Of
-repeated ids the order is by text. An empty table gives no shards. Columns besides doc_id and text are not read.
+repeated ids the order is by a hash of the text, then by text. An empty table gives no shards. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from engramlake.session import new_folder, partitions, stage
 
@@ -209,7 +209,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None
             store.move(f"{path}/.{own}.{x}", f"{path}/{names[-1]}")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([no], pa.int32()), "path": [f"{folder}/{names[0]}"], "index_path": [f"{folder}/{names[1]}"], "n_records": [n_records], "n_ids": [n_ids]})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions(*order, "text")
     return stage(dealt.mapInArrow(shard, SHARDS), "record-shards")
 
 
