@@ -9,12 +9,12 @@ import corpus_pipeline
 from engramlake.llm import exact_dedup, html_text, licenses, mixing, packing, phrases, quality, queries, records, simhash, warc
 from engramlake.session import stage
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, row long, taken long, fingerprint string, _row string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, row long, taken long, fingerprint string, _row string, `a.b` string"
 PAGES = "page_id long, url string, html string, digest string, path string"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), None, "x", 1, 1, "f", "r") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), None, "x", 1, 1, "f", "r", "dot") for i, t, s in rows], DOCS)
 
 
 @pytest.fixture(scope="module")

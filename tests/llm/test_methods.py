@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from engramlake.llm import html_text, licenses, packing, phrases, queries, records, simhash, tokens, warc
+from engramlake.llm import html_text, licenses, mixing, packing, phrases, quality, queries, records, simhash, tokens, warc
 from engramlake.session import stage
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,50 @@ def test_gray_index():
     assert parent == [want[i] for i in range(len(x))]
 
 
+def test_index_answers_on_the_tables(spark, monkeypatch):
+    """On whole fingerprints of sf0.1, in parts of 1,024: searches leave most values out by upper nodes and lose no link."""
+    monkeypatch.setattr(simhash, "PART", 1024)
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    values = stage(simhash.fingerprints(d).select("fingerprint").distinct(), "values")
+    n = values.count()
+    parts = {}
+    for r in simhash.parted(values, 2, n).collect():
+        parts.setdefault(r["part"], []).append((r["turned"] & (2**64 - 1), r["fingerprint"]))
+    assert len(parts) == 3 * 16 and sum(map(len, parts.values())) == 3 * n
+    visited = pruned = brute = 0
+    found = set()
+    for rows in parts.values():
+        x = np.array([t for t, _ in rows], np.uint64)
+        order = np.argsort(simhash.gray_ranks(x))
+        index = simhash.GrayIndex(x[order])
+        q, v = index.search(index.values, 2)
+        own = np.array([f for _, f in rows])[order]
+        found |= {(min(a, b), max(a, b)) for a, b in zip(own[q].tolist(), own[v].tolist()) if a != b}
+        visited, pruned, brute = visited + index.visited, pruned + index.pruned, brute + len(x) ** 2
+    assert pruned > 0.6 * brute and visited < 0.8 * brute
+    all_ = np.array([r[0] for r in values.collect()], np.int64).view(np.uint64)
+    want = set()
+    for k in range(0, n, 500):
+        i, j = np.nonzero(np.bitwise_count(all_[k : k + 500, None] ^ all_[None, :]) <= 2)
+        a, b = all_[i + k].view(np.int64), all_[j].view(np.int64)
+        want |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist()) if x != y}
+    assert found == want
+
+
+def test_hot_parts_are_dealt_in_slices(spark, monkeypatch):
+    """Fingerprints that share all blocks but one, far more than a part is for."""
+    monkeypatch.setattr(simhash, "PART", 64)
+    rng = random.Random(3)
+    values = sorted({rng.getrandbits(15) for _ in range(2000)})
+    got = {}
+    from engramlake.operators.components import connected_components
+
+    for r in connected_components(simhash.links(stage(spark.createDataFrame([(v,) for v in values], "fingerprint long"), "hot"))).collect():
+        got[r["node"]] = r["component"]
+    want = linked({v: v for v in values}, lambda m, n: (m ^ n).bit_count() <= 2)
+    assert all(got.get(v, v) == want[v] for v in values)
+
+
 def test_links_lose_nothing(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -160,6 +204,37 @@ def test_quality_on_held_out_rows(spark):
     assert min(np.mean([r["predicted"] == q for r in m if r["quality"] == q]) for q in (0, 1)) > 0.9
 
 
+def test_machine_sums_pairs_and_follows_its_gradient():
+    """Linear-time margins against the sum over all pairs, and a step of the fit against numeric derivatives."""
+    rng = np.random.default_rng(5)
+    m = quality.FactorisationMachine()
+    m.linear, m.bias = rng.normal(0, 0.3, quality.WIDTH).astype(np.float32), 0.2
+    m.factors = rng.normal(0, 0.3, m.factors.shape).astype(np.float32)
+    rows = [quality.features(t) for t in ("some words here, some more", "", "a b c d e f g " * 9)]
+
+    def margin(places, values):
+        x = list(zip(places.tolist(), values.astype(float).tolist()))
+        pairs = sum(float(m.factors[i].astype(float) @ m.factors[j].astype(float)) * a * b for k, (i, a) in enumerate(x) for j, b in x[:k])
+        return m.bias + sum(float(m.linear[i]) * a for i, a in x) + pairs
+
+    want = [margin(*r) for r in rows]
+    assert np.allclose(m.scores(rows), 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+    # AdaGrad's first step goes against the sign of each derivative of the loss.
+    places, values = rows[0]
+    loss = lambda: -np.log(m.scores([rows[0]])[0])
+    for f in (0, 3):
+        i = places[f]
+        before = m.factors[i, f]
+        m.factors[i, f] = before + 1e-2
+        up = loss()
+        m.factors[i, f] = before - 1e-2
+        slope = (up - loss()) / 2e-2
+        m.factors[i, f] = before
+        sums = (m.factors[places] * values[:, None]).sum(0)
+        error = m.scores([rows[0]])[0] - 1
+        assert np.isclose(slope, error * values[f] * (sums[f] - m.factors[i, f] * values[f]), atol=2e-3)
+
+
 def test_license_places_and_labels(spark):
     text = "MIT License, mit licenses; mit-license! Licensed under CC BY-NC 4.0. GNU General Public License version 3"
     r = licenses.scan(spark.createDataFrame([(1, text), (2, "permit the license of mit")], "doc_id int, text string")).orderBy("doc_id").collect()
@@ -208,6 +283,86 @@ def test_main_text_of_all_pages(spark, run):
         assert r["text"] == " ".join(html.unescape(inner).split()) and r["n_chars"] == len(r["text"])
 
 
+def stripped(page, divs=False):
+    """Without named parts and classes; with divs for menus, headers, footers and sidebars too."""
+    page = re.sub(r' (?:class|id)="[^"]*"', "", page)
+    return re.sub(r"<(/?)(?:article|main|nav|footer|header|aside)>", r"<\1div>", page) if divs else re.sub(r"</?(?:article|main)>", "", page)
+
+
+@pytest.mark.parametrize("divs", (False, True))
+def test_ratios_find_the_text_of_pages_without_names(spark, divs):
+    """Words of all pages' articles, that nothing but ratios tells apart: recall and precision."""
+    from collections import Counter
+
+    both = found = real = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        want = Counter(html_text.main_text(r["html"]).split())
+        got = Counter(html_text.main_text(stripped(r["html"], divs)).split())
+        both, found, real = both + sum((want & got).values()), found + sum(got.values()), real + sum(want.values())
+    assert both >= 0.99 * real and both >= 0.97 * found
+
+
+def test_no_line_of_a_region_is_lost():
+    long, short = "<p>" + "long text " * 40 + "</p>", "<p>Short end.</p>"
+    want = ("long text " * 40).strip() + " Short end."
+    assert html_text.main_text(f"<article><section>{long}</section><section>{short}</section></article>") == want
+    assert html_text.main_text(f"<div><a>x</a></div><div>{long}{short}</div><div><a>y</a></div>") == want
+    kept = '<p class="notice-period">A</p><div id="related-work"><p>B</p></div><div class="share-buttons">C</div>'
+    assert html_text.main_text(f"<article>{long}{kept}</article>").endswith(" A B")
+    between = f"<body><div><a>x</a></div><div><div>{long}</div><div><p>Table</p></div><div>{long}</div></div><div><a>y</a></div></body>"
+    assert " Table " in html_text.main_text(between)
+
+
+def test_a_page_of_unclosed_elements_takes_linear_time():
+    import time
+
+    began = time.time()
+    html_text.main_text("<div>" * 60_000 + "x" + "</b>" * 60_000)
+    assert time.time() - began < 10
+
+
+def plain_sketch(text):
+    """Locally consistent parsing of one text, symbol by symbol."""
+    top = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & top
+        return x ^ (x >> 29)
+
+    symbols, out = [ord(c) for c in text], []
+    for held in phrases.HELD:
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        x = symbols = [mix((s + n * 0x9E3779B97F4A7C15) & top) if n > 1 else s for s, n in runs]
+        for _ in range(phrases.ROUNDS):
+            new = [0]
+            for a, b in zip(x, x[1:]):
+                bit = ((a ^ b) & -(a ^ b)).bit_length() - 1 if a != b else 8 if max(*x) < 256 and x is not symbols else 64
+                new.append(2 * bit + (b >> min(bit, 63) & 1))
+            x = new
+        cuts = [k for k in range(len(x)) if k == 0 or k + 1 < len(x) and x[k] > x[k - 1] and x[k] >= x[k + 1]]
+        names = []
+        for a, b in zip(cuts, [*cuts[1:], len(x)]):
+            power = total = 1
+            total = 0
+            for s in symbols[a:b]:
+                total, power = (total + mix((s + 1) & top) * power) & top, power * 0x9E3779B97F4A7C15 & top
+            names.append(mix(total))
+        symbols = names
+        out.append(tuple(sorted({n >> 32 for n in names})[:held]))
+    return tuple(out)
+
+
+def test_phrases_symbol_by_symbol(texts):
+    some = ["a", "aab", "abab" * 30, "\U0001f600 é" * 20, *list(texts.values())[:25]]
+    some = [t for t in some if t]
+    assert phrases.sketches(some) == [plain_sketch(t) for t in some]
+
+
 def test_phrases(texts, run):
     order = sorted(texts, reverse=True)
     got = run("op9_phrase_fingerprints")
@@ -248,9 +403,9 @@ def test_genetic_steps_keep_all_pieces():
     lengths = [rng.choice((1400, 1366, 700, 2049, 2047, 33)) for _ in range(300)]
     a = packing.best_fit(lengths, range(300), 4096)
     b = packing.best_fit(lengths, sorted(range(300), key=lambda i: -lengths[i]), 4096)
-    for child in (packing.crossover(lengths, a, b, 4096, rng), packing.mutate(lengths, b, 4096, rng), packing.evolve(lengths, 4096, 1)):
+    for child in (packing.crossover(lengths, a, b, 4096, rng), packing.mutate(lengths, b, 4096, rng), packing.evolve(lengths, 4096, 1)[0]):
         assert sorted(i for x in child for i in x) == list(range(300)) and all(sum(lengths[i] for i in x) <= 4096 for x in child)
-    assert len(packing.evolve(lengths, 4096, 1)) <= len(b)
+    assert len(packing.evolve(lengths, 4096, 1)[0]) <= len(b)
 
 
 def test_several_neighbourhoods(spark):
@@ -287,3 +442,84 @@ def test_pairs_at_the_limit_of_similarity(spark):
     d = stage(spark.createDataFrame(rows, "row long, text string").repartition(8), "near")
     got = {r["row"]: r["component"] for r in simhash.near_components(d).collect()}
     assert got == {k: k - k % 2 for k, _ in rows}
+
+
+def test_genetic_steps_beat_best_fit():
+    """Triplets that fill bins wholly: best-fit decreasing misses the bound by far, evolution saves bins."""
+    rng, lengths = random.Random(1), []
+    for _ in range(80):
+        a = rng.randrange(1100, 1700)
+        b = rng.randrange(max(1030, 4096 - a - 2040), min(2040, 4096 - a - 1030))
+        lengths += [a, b, 4096 - a - b]
+    decreasing = packing.best_fit(lengths, sorted(range(240), key=lambda i: -lengths[i]), 4096)
+    best, generations = packing.evolve(lengths, 4096, 2, generations=60, population=8)
+    assert generations == 60 and 80 <= len(best) < len(decreasing)
+
+
+def test_packing_goes_through_generations(spark):
+    rows = entry.queries()["op10_best_fit_packing"](spark, SF).collect()
+    assert all(r["generations"] >= 1 for r in rows if r["length"] < 4096)
+    p = stage(spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate([1366, 1365, 1365] * 40 + [1400, 1500, 1196] * 40)], packing.PIECES), "pieces")
+    assert {r["migrations"] for r in packing.pack(p).collect()} <= {0, 1, 2}
+
+
+def test_schedule_is_the_golden_lattice(spark):
+    plan = spark.createDataFrame([(0, 13), (1, 50), (2, 0), (3, 1)], "rank int, slots long")
+    got = mixing.schedule(plan).collect()
+    assert sorted(r["slot"] for r in got) == list(range(64)) and mixing.step(64) == 39
+    for rank, slots in ((0, 13), (1, 50), (3, 1)):
+        own = sorted((r["slot"], r["place"]) for r in got if r["rank"] == rank)
+        low = {0: 0, 1: 13, 3: 63}[rank]
+        assert own == [(s, k) for k, s in enumerate(n for n in range(64) if low <= n * 39 % 64 < low + slots)]
+    # In any stretch of the schedule a source has its share of slots, but for a few.
+    big = [r["slot"] for r in got if r["rank"] == 1]
+    assert all(abs(sum(s < n for s in big) - n * 50 / 64) < 2.5 for n in range(65))
+
+
+def test_mixed_documents_stand_in_slot_order(spark):
+    d = stage(spark.read.parquet(f"{SF}/documents.parquet"), "docs")
+    slots = {r["doc_id"]: r["slots"] for r in mixing.mix(d).collect()}
+    out = mixing.mixed_documents(d).select("doc_id").collect()
+    seen, at = {}, []
+    for r in out:
+        k = seen[r[0]] = seen.get(r[0], -1) + 1
+        at.append(slots[r[0]][k])
+    assert at == sorted(at) and len(at) > 100
+
+
+def test_pipeline_against_brute_force(spark, texts):
+    """All stages in a row on the smallest tables; the model's own scores decide in the first."""
+    import duckdb
+
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r["doc_id"] for r in quality.score(d, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
+    first = {}
+    for i in sorted(good):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
+    kept = {i: texts[i] for i in first.values()}
+    least = linked(kept, lambda a, b: simhash.similarity(a, b) >= 0.8)
+    kept = [i for i in kept if least[i] == i]
+    documents = d.where(d.doc_id.isin(kept)).toPandas()  # noqa: F841
+    mix = duckdb.sql(mixing.ORACLE).fetchall()
+    times = {r[0]: int(r[4] / r[1] + 0.5) if r[1] else 0 for r in mix}
+    whole, want = Tokenizer.from_file(queries.VOCABULARY), []
+    for i in kept:
+        ids = np.array([*whole.encode(texts[i], add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))] * times[i]
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in map(sorted, bins.values()):
+        assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and sum(x[1] for x in b) <= 4096
+
+
+def test_normalising_again_finds_what_stands(spark):
+    pages = stage(spark.read.parquet(f"{SF}/pages.parquet"), "pages")
+    mono = warc.write_monolithic(pages)
+    one = sorted(warc.normalise_all(mono).collect())
+    assert sorted(warc.normalise_all(mono).collect()) == one and sum(r["n_records"] for r in one) == pages.count()
+    assert warc.read(warc.normalise_all(mono)).count() == pages.count()
