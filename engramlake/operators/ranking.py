@@ -56,23 +56,40 @@ def safe_depth(k: int) -> int:
     return 531 + 10 * k
 
 
+def _ranks_of(rows: DataFrame, few: DataFrame, value: str) -> DataFrame:
+    """(ord, rank) of few rows by value, the largest first, ties by ord, among all rows; few (ord, value) is of bounded size.
+
+    Few's places are one sorted array in pieces, each row finds by two short scans how many of few are ahead of it, and
+    rows are counted by that number; so a row adds one to a partial count, whatever the number of few."""
+    piece = 32
+    at = lambda v: F.struct((-F.col(v)).alias("v"), F.col("ord").alias("o"))
+    sorted_ = few.where(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(at(value))).alias("all"))
+    pieces = F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(piece)), lambda i: F.slice("all", i + 1, F.lit(piece))))
+    places = sorted_.select(pieces.alias("pieces"))
+    placed = rows.where(F.col(value).isNotNull()).select(at(value).alias("own"), places.scalar().alias("pieces"))
+    placed = placed.withColumn("n", F.size(F.filter("pieces", lambda p: p[0] < F.col("own"))))
+    ahead = F.when(F.col("n") == 0, 0).otherwise((F.col("n") - 1) * piece + F.size(F.filter(F.get("pieces", F.col("n") - 1), lambda x: x < F.col("own"))))
+    counts = placed.select(ahead.alias("ahead")).groupBy("ahead").agg(F.count("*").alias("n"))  # as many rows as few, and one
+    upto = counts.select("ahead", (F.sum("n").over(W.orderBy("ahead")) - 1).alias("rank"))
+    return sorted_.select(F.posexplode("all").alias("ahead", "x")).join(upto, "ahead").select(F.col("x.o").alias("ord"), "rank")
+
+
 def rrf_top(df: DataFrame, k: int, k0: int = RRF_K) -> DataFrame:
     """rrf() of the rows that can be among the best k, without ranking all rows in one task.
 
     The best rows of each list are found by a limit (partial in each task); each survivor's true rank in the other list
-    is the number of rows before it, counted in one pass against the survivors, whose number is bounded."""
+    is the number of rows before it, counted in one pass."""
     m = safe_depth(k)
     slim = stage(df.select("ord", "sem", "kw"), "scored")  # texts and vectors are scored once
-    top = slim.where("sem is not null").orderBy(F.desc("sem"), "ord").limit(m).select("ord").union(slim.where("kw > 0").orderBy(F.desc("kw"), "ord").limit(m).select("ord")).distinct()
-    few = df.join(F.broadcast(top), "ord", "left_semi")  # at most 2 * m rows
-    marks = slim.join(F.broadcast(top), "ord", "left_semi").select(F.col("ord").alias("_o"), F.col("sem").alias("_s"), F.col("kw").alias("_k"))
-    ahead = lambda a, b: (F.col(a) > F.col(b)) | (F.col(a) == F.col(b)) & (F.col("ord") < F.col("_o"))
-    counts = slim.join(F.broadcast(marks), ahead("sem", "_s") | ahead("kw", "_k") & (F.col("kw") > 0))
-    counts = counts.groupBy("_o").agg(F.count_if(ahead("sem", "_s")).alias("_sr"), F.count_if(ahead("kw", "_k") & (F.col("kw") > 0)).alias("_kr"))
-    out = few.join(counts, few.ord == counts._o, "left").fillna(0, ["_sr", "_kr"])
-    out = out.withColumn("sem_rank", F.when(F.col("sem").isNotNull(), F.col("_sr"))).withColumn("kw_rank", F.when(F.col("kw") > 0, F.col("_kr")))
+    slim = slim.select("ord", "sem", F.when(F.col("kw") > 0, F.col("kw")).alias("kw"))
+    top = slim.where("sem is not null").orderBy(F.desc("sem"), "ord").limit(m).select("ord").union(slim.where("kw is not null").orderBy(F.desc("kw"), "ord").limit(m).select("ord")).distinct()
+    marks = stage(slim.join(F.broadcast(top), "ord", "left_semi"), "survivors")  # at most 2 * m rows
+    ranks = marks.select("ord")
+    for value, name in (("sem", "sem_rank"), ("kw", "kw_rank")):
+        ranks = ranks.join(_ranks_of(slim, marks, value).withColumnRenamed("rank", name), "ord", "left")
+    out = df.join(F.broadcast(ranks), "ord")
     part = lambda r: F.coalesce(1 / (k0 + F.col(r)), F.lit(0.0))
-    return out.withColumn("rrf", part("sem_rank") + part("kw_rank")).drop("_o", "_sr", "_kr")
+    return out.withColumn("rrf", part("sem_rank") + part("kw_rank"))
 
 
 def with_decay(df: DataFrame, entries: DataFrame | None, now_ms: int) -> DataFrame:

@@ -8,6 +8,7 @@ from engramlake.functions import text as T
 from engramlake.session import file_name_of
 
 UNIT = ["src", "file", "line", "ts", "role", "kind", "sub", "text", "id"]
+# Fixed value: what a serialised dump of a message holds.
 DUMP = r"""\{"type":"(?:text|message|tool|thinking)"|"signature":"[A-Za-z0-9+/]{30,}"""
 SKIPPED = ("channel", "message_id", "sender_id")
 
@@ -66,8 +67,9 @@ def classify(lines: DataFrame, sample: int = 50) -> DataFrame:
     return lines.join(kinds, "file", "left").withColumn("kind", kind).where("kind is not null").drop("_session")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """file, line, kind, ts, role, text of lines (file, line, value, kind); what isn't a message goes."""
+def parse_lines(lines: DataFrame, persona: str = "assistant") -> DataFrame:
+    """file, line, kind, ts, role, text of lines (file, line, value, kind); what isn't a message goes. persona: the role of a
+    thread's own events."""
     flatten = F.pandas_udf(_flatten_event, "string")
     p = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
     kind, type_ = F.col("kind"), F.try_variant_get("v", "$.type", "string")
@@ -76,7 +78,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     said = F.when(kind == "thread", F.when(type_ == "user_message", F.coalesce(_string(F.col("v"), "$.data.content"), F.lit(""))))
     said = said.when((kind == "archive") & (type_ == "message"), F.when(role == "user", T.strip_channel(body)).otherwise(body))
     said = said.when(kind.isin("engineer", "claude-code") & type_.isin("user", "assistant"), body)
-    who = F.when(kind == "thread", F.when(event, "rin").otherwise("user")).when(kind == "archive", F.coalesce(role, F.lit("?"))).otherwise(type_)
+    who = F.when(kind == "thread", F.when(event, persona).otherwise("user")).when(kind == "archive", F.coalesce(role, F.lit("?"))).otherwise(type_)
     base = p.select("file", "line", "kind", F.coalesce(F.try_variant_get("v", "$.timestamp", "string"), F.lit("")).alias("ts"), who.alias("role"), said.alias("text"), "value", (event & (kind == "thread")).alias("_event"))
     plain = base.where("not coalesce(_event, false)").drop("value", "_event")
     events = base.where("_event").withColumn("text", flatten("value")).drop("value", "_event")

@@ -75,7 +75,7 @@ def test_transcripts(spark, tmp_path):
     u = transcripts.units(transcripts.parse_lines(transcripts.classify(transcripts.read_lines(spark, root)))).collect()
     got = {(r["kind"], r["line"]): (r["role"], r["text"]) for r in u}
     assert got == {
-        ("thread", 1): ("user", "a first message that is long enough"), ("thread", 6): ("rin", "what: use spark. why: fast; public"),
+        ("thread", 1): ("user", "a first message that is long enough"), ("thread", 6): ("assistant", "what: use spark. why: fast; public"),
         ("claude-code", 1): ("assistant", "visible words in a block"), ("archive", 1): ("user", "archived words of someone"),
     }
     out = f"{tmp_path}/out"
