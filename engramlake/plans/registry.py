@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from engramlake.functions import decay as D, text as T, vector as V
 from engramlake.operators import graph, links, metrics, ranking
-from engramlake.plans import jobs, views
+from engramlake.plans import jobs, oracles, views
 from engramlake.plans.views import CHUNK, ENTRIES, NOW, QUERY
 from engramlake.session import new_folder, table
 
@@ -35,11 +35,11 @@ _count = lambda t, c="lower(text)": f"(length({c}) - length(replace({c}, '{t}',
 _KW = " + ".join(map(_count, _TERMS))
 _PATH = f"case when {' or '.join(f'contains(lower(rel), {t!r})' for t in _TERMS)} then 3 else 0 end"
 _SCORED = f"scored as (select *, round(list_cosine_similarity(vector, (select embedding::double[] from embeddings where vec_id = 0)), 6) as sem, ({_KW} + {_PATH})::bigint as kw from chunk)"
-_RANKED = """ranked as (select *, row_number() over (order by sem desc, ord) - 1 as sem_rank, case when kw > 0 then row_number() over (order by kw desc, ord) - 1 end as kw_rank from scored),
-fused as (select *, 1.0::double / (60 + sem_rank) + coalesce(1.0::double / (60 + kw_rank), 0) as rrf from ranked)"""
+_RANKED = """ranked as (select *, case when sem is not null then row_number() over (order by sem desc nulls last, ord) - 1 end as sem_rank, case when kw > 0 then row_number() over (order by kw desc, ord) - 1 end as kw_rank from scored),
+fused as (select *, coalesce(1.0::double / (60 + sem_rank), 0) + coalesce(1.0::double / (60 + kw_rank), 0) as rrf from ranked)"""
 _FACTOR = f"""least(1.5, greatest(0.3, (1 + 0.5 * pow(2, -d / 30) - 0.7 * (1 - pow(2, -d / 180))) * least(1.5, 1 + 0.15 * log2(access + 1)) * importance / 0.5))"""
 _AGED = f"aged as (select *, greatest(0, ({NOW} - last_ms) / 86400000.0::double) as d from entries)"
-_PAIRS = "pairs as (select x.ord as a, y.ord as b, x.rel as ra, y.rel as rb, x.date as da, y.date as db, round(list_cosine_similarity(x.vector, y.vector), 6) as sim from chunk x join chunk y on x.ord < y.ord)"
+_PAIRS = "pairs as (select x.ord as a, y.ord as b, x.rel as ra, y.rel as rb, x.date as da, y.date as db, round(list_cosine_similarity(x.vector, y.vector), 6) as sim from chunk x join chunk y on x.ord < y.ord and x.vector is not null and y.vector is not null)"
 
 
 def _with(*parts: str) -> str:
@@ -71,8 +71,17 @@ def x05(spark, sf):
     return views.entries(spark, sf).select("rel", "access", F.round(D.decay_factor(F.col("access"), F.col("last_access_ms"), F.col("importance"), NOW), 6).alias("factor"))
 
 
-@query("x10_reconcile", _with(CHUNK, f"p as (select c.ord as id, x.ord, x.rel, round(list_cosine_similarity(c.vector, x.vector), 6) as s from chunk c join chunk x on c.ord % 100 = 0 and x.rel <> c.rel)", f"r as (select *, row_number() over (partition by id order by s desc, ord) as n from p where s >= {MID})")
-       + f"select id, case when max(p.s) >= {HIGH} then 'skip' when max(p.s) >= {MID} then 'review' else 'new' end as action, max(p.s) as top_score, coalesce((select string_agg(rel, ',' order by n) from r where r.id = p.id and n <= 5), '') as paths from p group by id")
+@query(
+    "x10_reconcile",
+    _with(
+        CHUNK,
+        "p as (select c.ord as id, x.ord, x.rel, round(list_cosine_similarity(c.vector, x.vector), 6) as s from chunk c join chunk x on c.ord % 100 = 0 and x.rel <> c.rel and c.vector is not null and x.vector is not null)",
+        f"r as (select *, row_number() over (partition by id order by s desc, ord) as n from p where s >= {MID})",
+        "t as (select id, max(s) as top_score from p group by id)",
+    )
+    + f"""select c.ord as id, case when top_score >= {HIGH} then 'skip' when top_score >= {MID} then 'review' else 'new' end as action, top_score,
+  coalesce((select string_agg(rel, ',' order by n) from r where r.id = c.ord and n <= 5), '') as paths from chunk c left join t on t.id = c.ord where c.ord % 100 = 0""",
+)
 def x10(spark, sf):
     c = views.chunk(spark, sf)
     r = links.reconcile(c.where("ord % 100 = 0").select(F.col("ord").alias("id"), "rel", "vector"), c, HIGH, MID)
@@ -84,17 +93,18 @@ def x17(spark, sf):
     return table(spark, sf, "documents").select(F.explode(T.topics(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("x18_theme_labels", _with(CHUNK, f"w as (select label, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 and w not in ({', '.join(map(repr, T.TOPIC_STOP))}) and not regexp_full_match(w, '[0-9]+')))) as word from chunk)", "n as (select label, word, count(*) as n from w group by 1, 2 having count(*) >= 2)", "r as (select *, row_number() over (partition by label order by n desc, word) as r from n)") + "select label::varchar as cluster, string_agg(word, ' · ' order by r) as theme from r where r <= 3 group by 1")
+@query("x18_theme_labels", _with(CHUNK.replace("left join", "join"), f"w as (select label, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 and w not in ({', '.join(map(repr, T.TOPIC_STOP))}) and not regexp_full_match(w, '[0-9]+')))) as word from chunk)", "n as (select label, word, count(*) as n from w group by 1, 2 having count(*) >= 2)", "r as (select *, row_number() over (partition by label order by n desc, word) as r from n)") + "select label::varchar as cluster, string_agg(word, ' · ' order by r) as theme from r where r <= 3 group by 1")
 def x18(spark, sf):
-    c = views.chunk(spark, sf)
+    c = views.chunk(spark, sf).where("label is not null")
     return graph.theme_labels(c.select(F.col("label").cast("string").alias("cluster"), F.col("ord").alias("id")), c.select(F.col("ord").alias("id"), "text"))
 
 
-@query("x20_high_signal")
+@query("x20_high_signal", oracles.SIGNALS)
 def x20(spark, sf):
     m = views.messages(spark, sf)
-    marked = F.when(F.xxhash64("file", "line") % 7 == 0, F.concat(F.lit("We decided to keep "), "file", F.lit(" for now. "), "text")).otherwise(F.col("text"))
-    return jobs.high_signal(m.select(F.concat("file", F.lit(":"), F.lpad(F.col("line").cast("string"), 6, "0")).alias("ord"), "role", marked.alias("text")))
+    marked = F.concat(F.when(F.col("role") == "user", F.concat(F.lit("We decided to keep "), "file", F.lit(" for now. "))).otherwise(""), "text")
+    s = jobs.high_signal(m.select(F.concat("file", F.lit(":"), F.lpad(F.col("line").cast("string"), 6, "0")).alias("ord"), "role", marked.alias("text")))
+    return s.withColumn("tags", F.array_join("tags", ","))
 
 
 @query("x25_jaccard", _with("w as (select doc_id, list_distinct(regexp_split_to_array(lower(text), '\\s+')) as w from documents)") + "select x.doc_id, round(len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w))::double, 6) as jaccard from w x join w y on y.doc_id = x.doc_id + 1")
@@ -155,15 +165,27 @@ def w08(spark, sf):
     return s.withColumn("n", F.row_number().over(W.partitionBy("file").orderBy(F.desc("sem"), "ord"))).where("n = 1").select("file", "ord", "sem")
 
 
-@query("q02_deep_recall", _with(f"u as (select 'thread' as src, null as rel, '/threads/' || conv_id || '.jsonl:' || (turn + 1) as ref, text, 1 as o, 0 as ord from conversations where strftime(date '2024-01-01' + (conv_id % 90)::int, '%Y-%m-%d') between '2024-01-10' and '2024-02-20' union all select 'note', source || '/' || doc_id, source || '/' || doc_id || ':1', text, 0, doc_id from documents join embeddings on doc_id = vec_id)", f"k as (select *, ({_KW})::bigint as kw from u)", "r as (select *, row_number() over (order by kw desc, o, ord, ref) - 1 as kw_rank from k where kw > 0)") + "select src, ref, kw, round(1.0::double / (60 + kw_rank), 9) as rrf from r order by kw_rank limit 20")
+@query(
+    "q02_deep_recall",
+    _with(
+        """u as (select 'thread' as src, '/threads/' || conv_id || '.jsonl:' || (turn + 1) as ref, text, null::double[] as vector, 1 as o, 0 as ord from conversations
+    where strftime(date '2024-01-01' + (conv_id % 90)::int, '%Y-%m-%d') between '2024-01-10' and '2024-02-20'
+  union all select 'note', source || '/' || doc_id || ':1', text, embedding::double[], 0, doc_id from documents left join embeddings on doc_id = vec_id)""",
+        f"k as (select *, ({_KW})::bigint as kw, round(list_cosine_similarity(vector, (select embedding::double[] from embeddings where vec_id = 0)), 6) as sem from u)",
+        """r as (select *, case when kw > 0 then row_number() over (order by kw desc, o, ord, ref) - 1 end as kw_rank,
+    case when sem is not null then row_number() over (order by sem desc nulls last, o, ord, ref) - 1 end as sem_rank from k)""",
+    )
+    + """select src, ref, kw, sem, round(coalesce(1.0::double / (60 + kw_rank), 0) + coalesce(1.0::double / (60 + sem_rank), 0), 9) as rrf from r
+order by coalesce(1.0::double / (60 + kw_rank), 0) + coalesce(1.0::double / (60 + sem_rank), 0) desc, o, ord, ref limit 20""",
+)
 def q02(spark, sf):
     m = views.messages(spark, sf).withColumnRenamed("kind", "src").withColumn("ref", F.concat("file", F.lit(":"), F.col("line").cast("string"))).withColumn("vector", F.lit(None).cast("array<double>"))
-    r = jobs.deep_recall(views.chunk(spark, sf), m, QUERY, None, 20, src="threads", after="2024-01-10", before="2024-02-20")
-    return r.select("src", "ref", "kw", F.round("rrf", 9).alias("rrf"))
+    r = jobs.deep_recall(views.chunk(spark, sf), m, QUERY, views.vector_of(spark, sf), 20, src="threads", after="2024-01-10", before="2024-02-20")
+    return r.select("src", "ref", "kw", "sem", F.round("rrf", 9).alias("rrf"))
 
 
 def _label_ranking(spark, sf, decayed: bool = False):
-    c = views.chunk(spark, sf)
+    c = views.chunk(spark, sf).where("vector is not null")
     q = c.where("ord % 100 = 0")
     rows = c.select("ord", "rel", "vector")
     if decayed:
@@ -175,7 +197,7 @@ def _label_ranking(spark, sf, decayed: bool = False):
     return hits.select("query", F.col("ord").alias("id"), F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "ord")).alias("rank")), rel
 
 
-_METRIC = _with(CHUNK, ENTRIES, _AGED, f"""p as (select q.ord as query, c.ord as id, c.label = q.label as hit, row_number() over (partition by q.ord order by round(list_cosine_similarity(c.vector, q.vector), 6) desc, c.ord) as rank,
+_METRIC = _with(CHUNK.replace("left join", "join"), ENTRIES, _AGED, f"""p as (select q.ord as query, c.ord as id, c.label = q.label as hit, row_number() over (partition by q.ord order by round(list_cosine_similarity(c.vector, q.vector), 6) desc, c.ord) as rank,
   row_number() over (partition by q.ord order by round(round(list_cosine_similarity(c.vector, q.vector), 6) * case when aged.d is null then 1 else {_FACTOR} end, 6) desc, c.ord) as drank from chunk q join chunk c on q.ord % 100 = 0 and c.ord <> q.ord left join aged on aged.rel = c.rel)""",
     "n as (select query, count(*) filter (hit) as n from p group by 1)", "ks as (select unnest([1, 5, 10]) as k)")
 
@@ -235,7 +257,21 @@ def q13(spark, sf):
     return jobs.advise(s, 800, 200)
 
 
-@query("q07_q09_consolidate")
+_SURFACE = "importance / 0.5 * (1 - pow(2, -d / 21)) / (1 + 0.5 * log2(access + 1))"
+
+
+@query(
+    "q07_q09_consolidate",
+    _with(
+        CHUNK, ENTRIES, _AGED, _PAIRS,
+        f"dup as (select least(ra, rb) as a, greatest(ra, rb) as b, sim from pairs where sim >= {MID} order by sim desc, 1, 2 limit 40)",
+        f"prune as (select rel, round({_FACTOR}, 9) as factor from aged where importance < 0.6 and d >= 90 and {_FACTOR} <= 0.35 order by 2, rel limit 50)",
+        f"shown as (select rel, round({_SURFACE}, 9) as score from aged where d >= 3 and rel not in (select rel from prune) order by 2 desc, rel limit 5)",
+        "flagged as (select distinct rel from chunk where contains(text, 'reconcile: review') order by rel limit 30)",
+    )
+    + f"""select case when sim >= {HIGH} then 'DUP' else 'SIM' end as section, a || ' ~ ' || b as item, sim as value from dup union all select 'PRUNE', rel, factor from prune
+union all select 'SURFACE', rel, score from shown union all select 'REVIEW', rel, null from flagged""",
+)
 def q09(spark, sf):
     return jobs.consolidate(views.chunk(spark, sf), views.entries(spark, sf), NOW, mid=MID, high=HIGH)
 
@@ -261,7 +297,7 @@ def g01(spark, sf):
     return links.build_links(_notes(spark, sf), per_node=None).drop("signals")
 
 
-@query("w09_degree_cap")
+@query("w09_degree_cap", _LINKS + "," + oracles.CAPPED)
 def w09(spark, sf):
     return links.build_links(_notes(spark, sf)).drop("signals")
 
@@ -272,9 +308,9 @@ def j15(spark, sf):
     return jobs.traverse(e, spark.range(1).select(F.col("id").alias("node")))
 
 
-@query("g11_q04_connect")
+@query("g11_q04_connect", _with(CHUNK.replace("left join", "join")) .rstrip() + "," + oracles.CONNECTED)
 def g11(spark, sf):
-    c = views.chunk(spark, sf)
+    c = views.chunk(spark, sf).where("vector is not null")
     seeds = c.where("ord % 100 = 0").select(F.col("ord").alias("seed"), F.col("rel").alias("seed_rel"), F.col("vector").alias("seed_vector"))
     return links.connect(c, seeds, floor=0.2).select("seed", "id", "rel", F.round("redundancy", 6).alias("redundancy"), F.round("mmr", 6).alias("mmr"), "pos")
 
@@ -293,24 +329,60 @@ def _rounds(spark, sf):
     return g
 
 
-@query("g02_g04_reinforce", _with(CHUNK, _PAIRS, f"e as (select least(a::varchar, b::varchar) as a, greatest(a::varchar, b::varchar) as b, sim from pairs where sim >= {MID})", "r as (select *, case when sim >= 0.38 then 3 else 2 end as rec from e)") + "select a, b, rec::bigint as recurrence, 1::bigint as first_round, 3::bigint as last_round, round(sim, 6) as ema, round(least(1.5, sim * (1 + 0.5 * least(1, rec / 5.0::double))), 8) as neural_score from r")
+_EDGES = _with(
+    CHUNK, _PAIRS,
+    f"e as (select least(a::varchar, b::varchar) as a, greatest(a::varchar, b::varchar) as b, sim from pairs where sim >= {MID})",
+    "r as (select *, case when sim >= 0.38 then 3 else 2 end as rec from e)",
+)
+
+
+@query(
+    "g02_g04_reinforce",
+    _EDGES
+    + """select a, b, rec::bigint as recurrence, 1::bigint as first_round, 3::bigint as last_round, round(sim, 6) as ema,
+  round(least(1.5, sim * (1 + 0.5 * least(1, rec / 5.0::double))), 8) as neural_score from r""",
+)
 def g02(spark, sf):
     return _rounds(spark, sf).withColumn("ema", F.round("ema", 6)).withColumn("neural_score", F.round("neural_score", 8))
 
 
-@query("g05_dense_clusters")
+@query(
+    "g03_g04_forgetting",
+    _EDGES
+    + """, s as (select a, b, sim, case when sim >= 0.40 then 14 when sim >= 0.38 then 2 else 1 end as last, case when sim >= 0.40 then 3 when sim >= 0.38 then 2 else 1 end as rec from e)
+select a, b, rec::bigint as recurrence, 1::bigint as first_round, last::bigint as last_round, round(sim, 6) as ema,
+  round(least(1.5, sim * (1 + 0.5 * least(1, rec / 5.0::double)) * pow(0.5, (14 - last) / 6.0::double)), 8) as neural_score from s where 14 - last <= 12""",
+)
+def g03(spark, sf):
+    """Edges last seen 13 rounds ago are forgotten, those of 12 rounds ago have faded."""
+    p = links.all_pairs(_notes(spark, sf), MID).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("sim").alias("weight"))
+    g = spark.createDataFrame([], graph.EDGE)
+    for n, floor in ((1, MID), (2, 0.38), (14, 0.40)):
+        g = graph.reinforce(g, p.where(F.col("weight") >= floor), n)
+    return g.withColumn("ema", F.round("ema", 6)).withColumn("neural_score", F.round("neural_score", 8))
+
+
+@query(
+    "g05_dense_clusters",
+    _EDGES.rstrip() + "," + oracles.CLUSTERS
+    + "\nselect cluster, array_to_string(members, ',') as members, n_edges, round(density, 6) as density, round(strength, 8) as strength, min_recurrence from clusters",
+)
 def g05(spark, sf):
-    return graph.dense_clusters(_rounds(spark, sf)).select("cluster", F.array_join("members", ",").alias("members"), "n_edges", F.round("density", 6).alias("density"), F.round("strength", 6).alias("strength"), "min_recurrence")
+    return graph.dense_clusters(_rounds(spark, sf)).select("cluster", F.array_join("members", ",").alias("members"), "n_edges", F.round("density", 6).alias("density"), F.round("strength", 8).alias("strength"), "min_recurrence")
 
 
-@query("g06_g07_q05_insights")
+@query(
+    "g06_g07_q05_insights",
+    _EDGES.rstrip() + "," + oracles.CLUSTERS + "," + oracles.INSIGHTS
+    + "\nselect id, array_to_string(members, ',') as members, strength, size, runs, first_ms, last_ms, status from insights",
+)
 def g07(spark, sf):
     clusters = graph.promotable(graph.dense_clusters(_rounds(spark, sf)), recurrence=2)
     first = graph.merge_insights(spark.createDataFrame([], graph.INSIGHT), clusters, NOW)
     return graph.merge_insights(first, clusters, NOW + 1).withColumn("members", F.array_join("members", ","))
 
 
-@query("g08_j08_contradictions")
+@query("g08_j08_contradictions", _with(CHUNK).rstrip() + "," + oracles.CONTRADICTIONS)
 def g08(spark, sf):
     c = views.chunk(spark, sf)
     stance = F.when(F.col("ord") % 2 == 0, "We prefer ").otherwise("Never use ")
@@ -321,7 +393,7 @@ def g08(spark, sf):
 # --- ingest ------------------------------------------------------------------------------------------------------
 
 
-@query("p01_chunk_text")
+@query("p01_chunk_text", oracles.CHUNKS)
 def p01(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("n", "c"))
     return d.select("doc_id", "n", "c.start_line", F.md5("c.text").alias("text_md5"))
@@ -340,7 +412,7 @@ def p11(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.strip_wrappers(noisy).alias("text"))
 
 
-@query("p14_p15_split_long")
+@query("p14_p15_split_long", "with" + oracles.UNITS + "\nselect file, line, sub, id, length(text)::int as n_chars from units")
 def p14(spark, sf):
     from engramlake.sources import transcripts
 
@@ -353,10 +425,7 @@ def p16(spark, sf):
     return m.select("conv_id", "turn", T.unit_id(F.concat(F.lit("/threads/"), F.col("conv_id").cast("string"), F.lit(".jsonl")), F.col("turn") + 1, F.lit(0), F.col("text")).alias("id"))
 
 
-_SECRET = T.SECRETS[-1][0].replace("'", "''")
-
-
-@query("p17_redact", f"select doc_id, md5(regexp_replace(text, '{_SECRET}', '\\1[REDACTED]', 'g')) as text_md5, len(regexp_extract_all(text, '{_SECRET}'))::int as redacted from documents where regexp_matches(text, '{_SECRET}')")
+@query("p17_redact", oracles.REDACTED)
 def p17(spark, sf):
     r = table(spark, sf, "documents").select("doc_id", T.redact(F.col("text")).alias("r")).where("r.redacted > 0")
     return r.select("doc_id", F.md5("r.text").alias("text_md5"), F.col("r.redacted").cast("int").alias("redacted"))
@@ -399,7 +468,12 @@ def s09(spark, sf):
     return e.where("skip_reason is null").select("line", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"))
 
 
-@query("j12_t03_u03_new_units")
+@query(
+    "j12_t03_u03_new_units",
+    "with" + oracles.UNITS
+    + """, first as (select *, row_number() over (partition by id order by file, line, sub) as r from units)
+select id, file, line, sub from first where r = 1 and id not in (select id from units where role = 'user')""",
+)
 def j12(spark, sf):
     from engramlake.sources import transcripts
 
@@ -414,7 +488,7 @@ def x23(spark, sf):
     return table(spark, sf, "documents").select("doc_id", links.stable_id("lang", "source", "doc_id").alias("key"), links.time_ms(ms, day).alias("ms"))
 
 
-@query("x19_polarity")
+@query("x19_polarity", oracles.POLARITY)
 def x19(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.denies(F.col("text")).alias("denies"), T.favours(F.col("text")).alias("favours"))
 
@@ -437,9 +511,11 @@ def _window(spark, sf):
 _LAST = "last as (select (conv_id * 1000 + turn)::bigint as ord, role, left(text, 1200) as text from conversations order by 1 desc limit 400)"
 
 
-@query("q11_capture", f"with {_LAST} select 'snapshot' as mode, ord, role, md5(text) as text_md5 from last")
+@query("q11_capture", f"with {_LAST} select 'snapshot' as mode, ord, role, md5(text) as text_md5 from last union all select 'reference', null, null, null")
 def q11(spark, sf):
-    return jobs.capture(_window(spark, sf), NOW - 60_000, NOW).select("mode", "ord", "role", F.md5("text").alias("text_md5"))
+    """A snapshot that was just taken, and the stub of one that is too old."""
+    both = jobs.capture(_window(spark, sf), NOW - 60_000, NOW).unionByName(jobs.capture(_window(spark, sf), NOW - 600_000, NOW))
+    return both.select("mode", "ord", "role", F.md5("text").alias("text_md5"))
 
 
 @query("x21_window_digest", f"with {_LAST} select left(sha256(string_agg(role || ':' || text, chr(10) order by ord)), 8) as digest from last")
@@ -458,7 +534,13 @@ def a02(spark, sf):
     return table(spark, sf, "documents").groupBy(F.col("lang").alias("type")).agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"), F.max("doc_id").alias("newest"))
 
 
-@query("q15_briefing")
+@query(
+    "q15_briefing",
+    _EDGES.rstrip() + "," + ",\n".join((ENTRIES, _AGED)) + "," + oracles.CLUSTERS + "," + oracles.INSIGHTS
+    + f""", shown as (select rel from aged where d >= 3 order by round({_SURFACE}, 9) desc, rel limit 3), learned as (select members from insights order by runs desc, strength desc, id limit 12),
+flagged as (select distinct rel from chunk where contains(text, 'reconcile: review') order by rel limit 30)
+select 'surfaced' as section, rel as item from shown union all select 'learned', array_to_string(members, ', ') from learned union all select 'pending', rel from flagged""",
+)
 def q15(spark, sf):
     clusters = graph.promotable(graph.dense_clusters(_rounds(spark, sf)), recurrence=2)
     insights = graph.merge_insights(graph.merge_insights(spark.createDataFrame([], graph.INSIGHT), clusters, NOW), clusters, NOW + 1)
@@ -466,7 +548,19 @@ def q15(spark, sf):
     return jobs.briefing(views.entries(spark, sf), insights, pending, NOW)
 
 
-@query("q12_save_notes")
+_SLUG = "left(coalesce(nullif(regexp_replace(regexp_replace(lower(left(split_part(text, chr(10), 1), 80)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'note'), 50)"
+
+
+@query(
+    "q12_save_notes",
+    _with(
+        CHUNK, "asked as (select doc_id, text from documents where doc_id % 100 = 0)", oracles.redaction("asked"),
+        f"named as (select doc_id as id, 'memory/02-semantic/' || {_SLUG} || '-' || left(sha256('fact' || chr(10) || text || chr(10)), 8) || '.md' as path from t{len(T.SECRETS)})",
+        "first as (select path, min(id) as id from named group by path)",
+        "near as (select c.ord as id, max(round(list_cosine_similarity(c.vector, x.vector), 6)) as top_score from chunk c join chunk x on c.ord % 100 = 0 and x.rel <> c.rel and c.vector is not null and x.vector is not null group by 1)",
+    )
+    + f"select id, path, 'fact' as type, coalesce(top_score >= {MID}, false) as review, top_score from first left join near using (id) where coalesce(top_score, 0) < {HIGH}",
+)
 def q12(spark, sf):
     c = views.chunk(spark, sf)
     cands = c.where("ord % 100 = 0").select(F.col("ord").alias("id"), "rel", F.lit("fact").alias("type"), "text", "vector")

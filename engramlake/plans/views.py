@@ -1,7 +1,7 @@
 """The library's tables as views of the shared test tables, in Spark and in DuckDB SQL.
 
-chunk: documents with the embedding of the same number; decay_entry: clicks by user as accesses of the note of the same
-number; units: conversations as transcript units. NOW is pinned, so that results don't change with the clock."""
+chunk: documents with the embedding of the same number, where there is one; decay_entry: clicks by user as accesses of the
+note of the same number, or of the user's own note where there is none; units: conversations as transcript units. NOW is pinned, so that results don't change with the clock."""
 
 from __future__ import annotations
 
@@ -16,14 +16,14 @@ QUERY = "tion eron there"
 def chunk(spark: SparkSession, sf: str) -> DataFrame:
     d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     rel = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
-    return d.join(e, d.doc_id == e.vec_id).select(
+    return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("doc_id").alias("ord"), rel.alias("rel"), F.lit(1).alias("start_line"), "text", F.col("embedding").cast("array<double>").alias("vector"), F.col("lang").alias("type"),
         F.lit("active").alias("status"), F.array("source").alias("tags"), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") * 37 % 1500).cast("int")), "yyyy-MM-dd").alias("date"), "label",
     )
 
 
 CHUNK = """chunk as (select doc_id as ord, source || '/' || doc_id as rel, 1 as start_line, text, embedding::double[] as vector, lang as type, 'active' as status, [source] as tags,
-  strftime(date '2020-01-01' + (doc_id * 37 % 1500)::int, '%Y-%m-%d') as date, label from documents join embeddings on doc_id = vec_id)"""
+  strftime(date '2020-01-01' + (doc_id * 37 % 1500)::int, '%Y-%m-%d') as date, label from documents left join embeddings on doc_id = vec_id)"""
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,11 +31,12 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     d = table(spark, sf, "documents").select("doc_id", "source")
     importance = F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.2).otherwise(0.5)
-    return e.join(d, e.user_id == d.doc_id).join(q, "doc_id", "left").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), "access", "last_access_ms", importance.alias("importance"))
+    rel = F.coalesce(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), F.concat(F.lit("user/"), F.col("user_id").cast("string")))
+    return e.join(d, e.user_id == d.doc_id, "left").join(q, "doc_id", "left").select(rel.alias("rel"), "access", "last_access_ms", importance.alias("importance"))
 
 
-ENTRIES = """entries as (select d.source || '/' || d.doc_id as rel, e.access, e.last_ms, case quality when 1 then 0.9 when 0 then 0.2 else 0.5 end::double as importance
-  from (select user_id, count(*)::int as access, epoch_us(max(ts)) // 1000 as last_ms from events where event_type = 'click' group by 1) e join documents d on d.doc_id = e.user_id
+ENTRIES = """entries as (select coalesce(d.source || '/' || d.doc_id, 'user/' || e.user_id) as rel, e.access, e.last_ms, case quality when 1 then 0.9 when 0 then 0.2 else 0.5 end::double as importance
+  from (select user_id, count(*)::int as access, epoch_us(max(ts)) // 1000 as last_ms from events where event_type = 'click' group by 1) e left join documents d on d.doc_id = e.user_id
   left join (select doc_id, min(quality) as quality from labels group by 1) q on q.doc_id = d.doc_id)"""
 
 
