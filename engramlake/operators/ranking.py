@@ -74,6 +74,13 @@ def _ranks_of(rows: DataFrame, few: DataFrame, value: str) -> DataFrame:
     return sorted_.select(F.posexplode("all").alias("ahead", "x")).join(upto, "ahead").select(F.col("x.o").alias("ord"), "rank")
 
 
+def pool_size(k: int | None, override: int | None = None) -> int:
+    """How many neighbours a nearest-neighbour index is asked for where k are shown; never fewer. Recall here ranks all rows
+    and needs no pool: this is for callers with an index of their own."""
+    shown = int(k) if k and k > 0 else 8
+    return max(shown, int(override)) if override and override > 0 else max(shown, 25 * shown, 400)
+
+
 def rrf_top(df: DataFrame, k: int, k0: int = RRF_K) -> DataFrame:
     """rrf() of the rows that can be among the best k, without ranking all rows in one task.
 

@@ -69,13 +69,13 @@ def high_signal(messages: DataFrame, limit: int = 40) -> DataFrame:
     lines = messages.select("ord", "role", F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n+")).alias("n", "line")).withColumn("text", F.trim("line"))
     lines = lines.where(F.length("text").between(12, 400)).withColumn("tags", T.signal_tags(F.col("text"))).where(F.size("tags") > 0)
     key = F.substring(F.lower("text"), 1, 120)
-    first = lines.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("ord", "n"))).where("_r = 1")
+    first = lines.groupBy(key.alias("_key")).agg(F.min_by(F.struct("ord", "n", "role", "text", "tags"), F.struct("ord", "n")).alias("_l")).select("_l.*")
     best = first.orderBy("ord", "n").limit(limit)
     return best.select((F.row_number().over(W.orderBy("ord", "n")) - 1).cast("long").alias("pos"), "role", "text", "tags")
 
 
 def digest(messages: DataFrame) -> DataFrame:
-    """digest of a window's messages (ord, role, text), in order."""
+    """digest of a window's messages (ord, role, text), in order. A window is what capture() gives, of bounded size."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "role", "text"))), lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
     return messages.agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 8).alias("digest"))
 
@@ -119,11 +119,99 @@ def stale_logs(logs: DataFrame, limits: dict[str, float], now_ms: int) -> DataFr
     return want.join(logs, "name", "left").select("name", F.round(hours, 3).alias("hours"), state.alias("state"))
 
 
-def briefing(entries: DataFrame, insights: DataFrame, pending: DataFrame, now_ms: int) -> DataFrame:
-    """section, item: what to resurface, what was learned, what waits."""
+def heads(files: DataFrame, n: int = 1, pattern: str = r"\S", limit: str | None = None) -> DataFrame:
+    """name, pos (from 0), line: the first n lines of files (name, content) that fit the pattern, after the front matter, in
+    the file's order, without the marks of a heading; limit: a pattern of lines that don't count."""
+    lines = F.split(T.without_front_matter(F.col("content")), "\n", -1)
+    fit = F.filter(lines, lambda x: x.rlike(pattern) if limit is None else x.rlike(pattern) & ~F.regexp_replace(x, "^#* *", "").rlike(limit))
+    return files.select("name", F.posexplode(F.slice(F.transform(fit, lambda x: F.regexp_replace(x, "^#* *", "")), 1, n)).alias("pos", "line"))
+
+
+def briefing(entries: DataFrame, insights: DataFrame, pending: DataFrame, now_ms: int, files: DataFrame | None = None) -> DataFrame:
+    """section, item: what to resurface, what was learned, what waits; with files (name, content) also the focus, where one
+    left off and the health, as far as the files are there."""
     out = surface(entries, now_ms, 3).select(F.lit("surfaced").alias("section"), F.col("rel").alias("item"))
     learned = insights.where("status = 'promoted'").orderBy(F.desc("runs"), F.desc("strength"), "id").limit(12).select(F.lit("learned").alias("section"), F.array_join("members", ", ").alias("item"))
-    return out.unionByName(learned).unionByName(pending.select(F.lit("pending").alias("section"), F.col("rel").alias("item")))
+    out = out.unionByName(learned).unionByName(pending.select(F.lit("pending").alias("section"), F.col("rel").alias("item")))
+    if files is None:
+        return out
+    named = lambda name: files.where(F.col("name") == name)
+    tasks, last = named("active-tasks.md"), named("last-conversation.md")
+    part = lambda df, section: df.select(F.lit(section).alias("section"), F.col("line").alias("item"))
+    out = out.unionByName(part(heads(tasks, 1, "^#{1,2} "), "focus")).unionByName(part(heads(last, 3), "continuity"))
+    out = out.unionByName(part(heads(tasks, 5, "^#{1,3} ", "(?i)^location"), "pending")).unionByName(part(heads(named("learnings.md"), 1, "^#{2,3} |^- "), "learned"))
+    log = F.reverse(F.filter(F.split("content", "\n"), lambda x: x != ""))
+    status = F.filter(F.slice(log, 1, 8), lambda x: x.rlike("(?i)ok|healthy|critical|warn|alert"))
+    health = named("health-monitor.log").select(F.lit("health").alias("section"), F.get(status, F.lit(0)).alias("item"))
+    return out.unionByName(health.where("item is not null"))
+
+
+def proactive(files: DataFrame, now_ms: int, stalled_days: int = 3, most_bytes: int = 10 * 1024) -> DataFrame:
+    """what (pending, stalled, large), item, n of files (name, content, mtime_ms): marks of pending learnings, tasks that nobody
+    has touched for days, a memory file near its cap in KB."""
+    pending = files.where("name = 'learnings.md'").select(F.lit("pending").alias("what"), F.col("name").alias("item"), F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike("(?i)pending"))).cast("long").alias("n"))
+    days = F.floor((F.lit(now_ms) - F.col("mtime_ms")) / 86_400_000)
+    stalled = files.where("name = 'active-tasks.md'").select(F.lit("stalled").alias("what"), F.col("name").alias("item"), days.cast("long").alias("n")).where(F.col("n") >= stalled_days)
+    size = F.octet_length("content")
+    large = files.where((F.col("name") == "MEMORY.md") & (F.floor(size / 1024) > most_bytes // 1024)).select(F.lit("large").alias("what"), F.col("name").alias("item"), F.floor(size / 1024).cast("long").alias("n"))
+    return pending.where("n > 0").unionByName(stalled).unionByName(large)
+
+
+# --- insights ----------------------------------------------------------------------------------------------------
+
+
+def _members(insights: DataFrame, notes: DataFrame, shown: int, chars: int) -> DataFrame:
+    """id, pos, member, snippet of insights' first members; notes: (id, text)."""
+    m = insights.select("id", F.posexplode(F.slice("members", 1, shown)).alias("pos", "member"))
+    n = notes.select(F.col("id").alias("member"), F.col("text").alias("_text"))
+    return m.join(n, "member", "left").select("id", "pos", "member", T.snippet(F.coalesce("_text", F.lit("")), chars).alias("snippet"))
+
+
+def insight_list(insights: DataFrame, notes: DataFrame, shown: int = 6) -> DataFrame:
+    """id, status, runs, strength, size, pos, member, snippet, conflicts (pairs of all members that may contradict)."""
+    pairs = graph.contradictions(insights.select(F.col("id").alias("cluster"), F.posexplode("members").alias("pos", "id")), notes)
+    conflicts = pairs.groupBy(F.col("cluster").alias("id")).agg(F.count("*").alias("conflicts"))
+    out = insights.select("id", "status", "runs", "strength", "size").join(_members(insights, notes, shown, 90), "id").join(conflicts, "id", "left")
+    return out.withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+
+
+def insight_block(insights: DataFrame, themes: DataFrame, top: int = 12) -> DataFrame:
+    """pos, line: a line for each of the strongest promoted insights; themes: (cluster, theme)."""
+    order = [F.desc("runs"), F.desc("strength"), F.asc("id")]
+    best = insights.where("status = 'promoted'").orderBy(*order).limit(top).join(themes.select(F.col("cluster").alias("id"), "theme"), "id", "left")
+    named = F.coalesce(F.concat(F.lit("theme: "), "theme"), F.lit("a recurring theme"))
+    line = F.concat(F.lit("- "), named, F.format_string(", in %d notes (%s%s), seen %d times, strength %s", "size", F.array_join(F.slice("members", 1, 2), ", "), F.when(F.col("size") > 2, ", …").otherwise(""), "runs", F.col("strength").cast("string")))
+    return best.select((F.row_number().over(W.orderBy(*order)) - 1).alias("pos"), line.alias("line"))  # of `top` rows
+
+
+def to_phrase(insights: DataFrame, notes: DataFrame, marks: DataFrame | None = None, top: int = 12, shown: int = 8, chars: int = 120) -> DataFrame:
+    """id, size, runs, pos, member, snippet: what to write up of the strongest promoted insights, without those in marks (id)."""
+    p = insights.where("status = 'promoted'")
+    p = p if marks is None else p.join(marks.select("id"), "id", "left_anti")
+    best = p.orderBy(F.desc("runs"), F.desc("strength"), "id").limit(top)
+    return best.select("id", "size", "runs").join(_members(best, notes, shown, chars), "id")
+
+
+def flywheel(insights: DataFrame, notes: DataFrame, marks: DataFrame) -> DataFrame:
+    """What to write up next: eight promoted insights that aren't marked, six notes of each."""
+    return to_phrase(insights, notes, marks, 8, 6, 100)
+
+
+def mark_phrased(marks: DataFrame, insights: DataFrame, id: str, now_ms: int) -> DataFrame:
+    """marks (id, phrased_ms) with that insight's; an id that no insight has changes nothing, a mark that is there stays."""
+    new = insights.where(F.col("id") == id).select("id", F.lit(now_ms).cast("long").alias("phrased_ms")).join(marks.select("id"), "id", "left_anti")
+    return marks.select("id", "phrased_ms").unionByName(new)
+
+
+def consolidation_brief(rows: DataFrame) -> DataFrame:
+    """section, pos, line: what consolidate() found as a brief's lists, a line each; a section without rows says so."""
+    names = {"DUP": "A", "SIM": "A", "PRUNE": "B", "SURFACE": "C", "REVIEW": "D"}
+    letter = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("section"))
+    line = F.when(letter == "A", F.concat(F.lit("- ["), "section", F.lit(" "), F.format_string("%.3f", "value"), F.lit("] "), "item")).otherwise(F.concat(F.lit("- "), "item"))
+    order = [F.desc("value"), F.asc("item")]
+    found = rows.select(letter.alias("section"), line.alias("line"), "value", "item").withColumn("pos", F.row_number().over(W.partitionBy("section").orderBy(*order)) - 1).select("section", "pos", "line")
+    every = rows.sparkSession.createDataFrame([(x,) for x in "ABCD"], "section string")
+    return every.join(found, "section", "left").select("section", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("line", F.lit("- (none)")).alias("line"))
 
 
 def learn(chunks: DataFrame, prev: DataFrame, insights: DataFrame, round_: int, now_ms: int, floor: float = links.FLOOR, **gate) -> tuple[DataFrame, DataFrame, DataFrame]:

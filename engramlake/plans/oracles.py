@@ -141,3 +141,54 @@ picked as (select seed, list_reduce(list_transform(range(8), lambda i: []::struc
       lambda c: {{'mmr': round(c.rel - 0.5 * {_NEAR}, 12), 'rel': c.rel, 'less': -c.id, 'red': {_NEAR}, 'v': c.v}}), 'desc')[1]) end,
     []::struct(mmr double, rel double, less bigint, red double, v double[])[]) as f from pool)
 select seed, -f[i].less as id, f[i].rel as rel, round(f[i].red, 6) as redundancy, round(f[i].mmr, 6) as mmr, (i - 1)::bigint as pos from picked, unnest(range(1, len(f) + 1)) as u(i)"""
+
+# --- the index over time, the learn job, reports -----------------------------------------------------------------
+
+#: Chunks of all documents' notes after a refresh; notes with a label were changed, notes of the benchmark are gone.
+_REFRESHED = f"""{CHUNKS.replace("with lines", "lines").rsplit("select doc_id, n::int", 1)[0].strip().rstrip(",")},
+chunk as (select doc_id, c[n + 1].start as start_line, c[n + 1].text as text from whole, unnest(range(len(c))) as u(n)),
+marked as (select distinct doc_id from labels where quality is not null),
+refreshed as (select source || '/' || doc_id as rel, start_line::int as start_line, chunk.text, doc_id not in (select doc_id from marked) as reused, lang from chunk join documents using (doc_id))"""
+INDEX = f"""with {_REFRESHED}
+select row_number() over (order by rel, start_line) - 1 as ord, rel, start_line, lang as type, md5(text) as text_md5, reused, case when reused then -1.0 else length(text) end::double as v from refreshed"""
+INDEX_COUNTS = f"""with {_REFRESHED}
+select 'files' as what, count(distinct rel) as n from refreshed union all select 'reused', count(*) from refreshed where reused union all select 'embedded', count(*) from refreshed where not reused
+union all select 'removed', count(*) from benchmark"""
+
+#: Over chunk: links of similarity 0.2 or more, capped, as the first round of a graph whose clusters have a theme.
+LEARNED = f"""
+note as (select rel, text, vector, row_number() over (order by rel) as i from chunk where vector is not null),
+l as (select x.i as a, y.i as b, round(list_cosine_similarity(x.vector, y.vector), 6) as sim from note x join note y on x.i < y.i),
+w as (select a, b, sim, null as days, 0 as shared, 0.15 + 0.85 * least(1, greatest(0, (sim - 0.2::double) / (0.85::double - 0.2::double))) as s, 0 as t, 0 as e from l where sim >= 0.2 and sim < 0.85),
+{CAPPED.rsplit("select a, b, sim", 1)[0].strip().rstrip(",").replace("edge as", "link as", 1).replace("from edge)", "from link)")},
+kept as (select x.rel as a, y.rel as b, weight as sim, 1 as rec from placed join note x on x.i = placed.a join note y on y.i = placed.b where k in (select unnest(f.kept) from walked)),
+r as (select * from kept),{CLUSTERS},
+good as (select * from clusters where len(members) between 2 and 12 and density >= 0.34 and strength >= 0.3),
+word as (select cluster, unnest(list_distinct({WORDS.format("text")})) as word from (select cluster, unnest(members) as rel from good) join note using (rel)),
+counted as (select cluster, word, count(*) as n from word group by 1, 2 having count(*) >= 2),
+ranked as (select *, row_number() over (partition by cluster order by n desc, word) as r from counted),
+theme as (select cluster, string_agg(word, ' · ' order by r) as theme from ranked where r <= 3 group by 1)
+select cluster, array_to_string(members, ',') as members, n_edges, round(density, 3) as density, round(strength, 4) as strength, theme from good left join theme using (cluster)"""
+
+TO_PHRASE = """
+best as (select * from insights order by runs desc, strength desc, id limit 12)
+select id, size, runs, (i - 1)::int as pos, members[i] as member, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 120) as snippet
+  from best, unnest(range(1, least(8, len(members)) + 1)) as u(i) join documents on doc_id::varchar = members[i]"""
+
+HEADS = """
+with f as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))[1:3] as l from documents)
+select doc_id::varchar as name, (i - 1)::int as pos, regexp_replace(l[i], '^#* *', '') as line from f, unnest(range(1, len(l) + 1)) as u(i)"""
+
+DISTILLED = f"""with {redaction()},
+d as (select doc_id, source, 'Note ' || doc_id as title, t.text as content, lang, left(sha256('Note ' || doc_id || chr(10) || source || chr(10) || t.text || chr(10)), 8) as h from documents join t{len(T.SECRETS)} t using (doc_id))
+select 'note-' || doc_id || '-' || h || '.md' as path, md5('---' || chr(10) || 'type: distilled' || chr(10) || 'status: active' || chr(10) || 'date: 2024-06-01' || chr(10) || 'source: ' || source || chr(10)
+  || 'provenance: sha256-' || h || chr(10) || 'tags: [' || lang || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || content || chr(10)) as value_md5 from d"""
+
+MESSAGES = """
+select conv_id, turn, case role when 'system' then 'note' else role end as role, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as text_md5,
+  case role when 'user' then '2024-01-01' when 'assistant' then '2024-01-02' else '' end as ts from conversations where trim(text) <> ''"""
+
+DATASETS = """
+select 'turns' as kind, conv_id || '/D1:' || turn as id, md5(role || ': ' || text) as text_md5 from conversations where text <> ''
+union all select 'sessions', 'q' || conv_id || '/s' || conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn)) from conversations group by conv_id
+union all select 'asked', 'q' || conv_id || '/s' || conv_id, md5('Who said ' || conv_id || '?') from conversations group by conv_id"""

@@ -567,6 +567,141 @@ def q12(spark, sf):
     return jobs.save_notes(cands, spark.createDataFrame([], "path string"), c, mid=MID, high=HIGH).drop("text")
 
 
+# --- the index over time, the learn job, reports -----------------------------------------------------------------
+
+
+def _refreshed(spark, sf):
+    """The index as it was, with notes that are gone by now, and after a refresh: labelled notes have changed."""
+    from engramlake.sources import index
+
+    d = table(spark, sf, "documents").where("text is not null")
+    marked = table(spark, sf, "labels").where("quality is not null").select("doc_id").distinct().withColumn("_new", F.lit(1))
+    rel, mtime = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), F.col("doc_id") * 1000
+    notes = d.join(marked, "doc_id", "left").select(rel.alias("rel"), "text", "lang", (mtime + F.coalesce("_new", F.lit(0))).alias("mtime_ms"))
+    old = d.select(rel.alias("rel"), mtime.alias("mtime_ms"), F.explode(T.chunks(F.col("text"))).alias("c")).select("rel", "mtime_ms", "c.start_line", "c.text")
+    gone = table(spark, sf, "benchmark").select(F.concat(F.lit("gone/"), F.col("item_id").cast("string")).alias("rel"), F.lit(1).cast("long").alias("mtime_ms"), F.lit(1).alias("start_line"), "text")
+    stored = old.unionByName(gone).withColumn("vector", F.array(F.lit(-1.0)))
+    new = index.refresh(notes.select("rel", "mtime_ms", F.col("text").alias("content")), stored, lambda t: F.array(F.length(t).cast("double")), 1)
+    return stored, new, notes
+
+
+@query("t01_t08_s07_index", oracles.INDEX)
+def t01(spark, sf):
+    _, new, notes = _refreshed(spark, sf)
+    c = new.join(notes.select("rel", "lang"), "rel")
+    return c.select("ord", "rel", "start_line", F.col("lang").alias("type"), F.md5("text").alias("text_md5"), "reused", F.element_at("vector", 1).alias("v"))
+
+
+@query("a09_index_counts", oracles.INDEX_COUNTS)
+def a09(spark, sf):
+    from engramlake.sources import index
+
+    stored, new, _ = _refreshed(spark, sf)
+    return index.counts(stored, new)
+
+
+@query("g09_q05_learn", _with(CHUNK).rstrip() + "," + oracles.LEARNED)
+def g09(spark, sf):
+    none = spark.createDataFrame([], graph.EDGE)
+    _, clusters, _ = jobs.learn(views.chunk(spark, sf), none, spark.createDataFrame([], graph.INSIGHT), 1, NOW, 0.2, least=2, recurrence=1, strength=0.3)
+    return clusters.select("cluster", F.array_join("members", ",").alias("members"), "n_edges", "density", "strength", "theme")
+
+
+@query("g10_to_phrase", _EDGES.rstrip() + "," + oracles.CLUSTERS + "," + oracles.INSIGHTS + "," + oracles.TO_PHRASE)
+def g10(spark, sf):
+    clusters = graph.promotable(graph.dense_clusters(_rounds(spark, sf)), recurrence=2)
+    insights = graph.merge_insights(graph.merge_insights(spark.createDataFrame([], graph.INSIGHT), clusters, NOW), clusters, NOW + 1)
+    return jobs.to_phrase(insights, views.chunk(spark, sf).select(F.col("ord").cast("string").alias("id"), "text"))
+
+
+@query("w13_heads", oracles.HEADS)
+def w13(spark, sf):
+    return jobs.heads(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content")), 3)
+
+
+@query("s13_distilled_notes", oracles.DISTILLED)
+def s13(spark, sf):
+    from engramlake.sources import notes
+
+    d = table(spark, sf, "documents").where("text is not null")
+    n = d.select(F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"), "source", F.col("text").alias("content"), F.array("lang").alias("tags"), F.lit("2024-06-01").alias("date"), F.lit(False).alias("review"))
+    return notes.distilled_files(n).select("path", F.md5("value").alias("value_md5"))
+
+
+@query("s14_report", _METRIC + f", m as (select query, k, round(recall, 6) as recall, round(precision, 6) as precision, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg from ({_metric('rank')}))\n"
+       + "select 'query' as scope, query::varchar as query, k, recall, precision, mrr, ndcg from m union all select 'aggregate', null, k, round(avg(recall), 5), round(avg(precision), 5), round(avg(mrr), 5), round(avg(ndcg), 5) from m group by k")
+def s14(spark, sf):
+    from engramlake.sources import notes
+
+    m = metrics.ir_metrics(*_label_ranking(spark, sf), ks=(1, 5, 10))
+    names = ("recall", "precision", "mrr", "ndcg")
+    r = notes.report(m.select("query", "k", *(F.round(c, 6).alias(c) for c in names)))
+    return r.select("scope", "query", "k", *(F.when(F.col("scope") == "query", F.col(c)).otherwise(F.round(c, 5)).alias(c) for c in names))
+
+
+@query("s15_links_tsv", "select source || '/' || doc_id || ':1' || chr(9) || coalesce(lang, 'note') || chr(9) || printf('%.3f', (doc_id % 1000) / 1000.0::double) || chr(9) || 'same source' as value from documents")
+def s15(spark, sf):
+    from engramlake.sources import notes
+
+    d = table(spark, sf, "documents")
+    return notes.links_tsv(d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.col("lang").alias("type"), (F.col("doc_id") % 1000 / 1000.0).alias("rel"), F.lit("same\tsource").alias("reason")))
+
+
+@query("s11_versions", "select doc_id, lang, source from documents")
+def s11(spark, sf):
+    """A version is read whole, whatever other versions stand beside it."""
+    from engramlake.sources import notes
+
+    path, d = new_folder(spark, "versions"), table(spark, sf, "documents").select("doc_id", "lang", "source")
+    notes.write_version(d.limit(0), path, "1")
+    notes.write_version(d, path, "2")
+    return notes.read_version(spark, path)
+
+
+@query("s16_audit_log", "select strftime(ts, '%Y-%m-%dT%H:%M:%S') as timestamp, event_type as action, user_id::varchar as file, 'job' as actor, 'auto' as approval, 'event ' || event_id as summary from events")
+def s16(spark, sf):
+    from engramlake.sources import notes
+
+    path = new_folder(spark, "audit")
+    e = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("file"), F.lit("job").alias("actor"), F.lit("auto").alias("approval"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("summary"))
+    notes.append_audit(e.where("action = 'click'"), path)
+    notes.append_audit(e.where("action <> 'click'"), path)
+    return notes.read_audit(spark, path)
+
+
+@query("p18_messages", oracles.MESSAGES)
+def p18(spark, sf):
+    from engramlake.sources import messages as M
+
+    text = F.concat(F.lit("<system-reminder>"), F.col("text"), F.lit("</system-reminder>"))
+    said = F.to_json(F.struct(F.lit("user").alias("role"), text.alias("content"), F.lit("2024-01-01").alias("ts")))
+    block = F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("hidden").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    answer = F.to_json(F.struct(F.lit("assistant").alias("type"), block.alias("content"), F.lit("2024-01-02").alias("timestamp")))
+    bare = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), '(?s)^\\{"x":(.*)\\}$', 1)
+    value = F.when(F.col("role") == "user", said).when(F.col("role") == "assistant", answer).otherwise(bare)
+    m = M.normalise(table(spark, sf, "conversations").select("conv_id", "turn", value.alias("value")), "conv_id", "turn")
+    return m.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), "ts")
+
+
+@query("q17_datasets", oracles.DATASETS)
+def q17(spark, sf):
+    from engramlake.sources import messages as M
+
+    c = table(spark, sf, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), F.concat(F.lit("D1:"), F.col("turn").cast("string")).alias("dia_id"), "text")))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    g = c.groupBy("conv_id").agg(turns.alias("turns"), said.alias("said"))
+    asked = F.concat(F.lit("Who said "), F.col("conv_id").cast("string"), F.lit("?"))
+    dialogs = g.select(F.col("conv_id").cast("string").alias("sample_id"), F.create_map(F.lit("session_1"), F.parse_json(F.to_json("turns")), F.lit("speaker_a"), F.parse_json(F.lit("1"))).alias("conversation"), F.array(F.struct(asked.alias("question"), F.array(F.lit("D1:0")).alias("evidence"), F.lit(5).alias("category"))).alias("qa"))
+    corpus, none = M.from_dialogs(dialogs)
+    key = F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+    sessions = g.select(F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), asked.alias("question"), F.array(key).alias("haystack_session_ids"), F.array("said").alias("haystack_sessions"), F.array(key).alias("answer_session_ids"))
+    hay, queries = M.from_sessions(sessions)
+    part = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.md5("text").alias("text_md5"))
+    out = part(corpus, "turns").unionByName(part(hay, "sessions"))
+    return out.unionByName(queries.unionByName(none).select(F.lit("asked").alias("kind"), F.col("relevant")[0].alias("id"), F.md5("query").alias("text_md5")))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

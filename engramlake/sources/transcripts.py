@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from engramlake.functions import text as T
-from engramlake.session import file_name_of
+from engramlake.session import file_name_of, stage
 
 UNIT = ["src", "file", "line", "ts", "role", "kind", "sub", "text", "id"]
 # Fixed value: what a serialised dump of a message holds.
@@ -13,11 +13,27 @@ DUMP = r"""\{"type":"(?:text|message|tool|thinking)"|"signature":"[A-Za-z0-9+/]{
 SKIPPED = ("channel", "message_id", "sender_id")
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """file, line (from 1), value of all JSONL files below root."""
-    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    df = df.select(F.concat(F.lit("/"), file_name_of(F.col("_metadata.file_path"), root)).alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
-    return df.select("file", (F.col("line") + 1).alias("line"), "value").where("trim(value) <> ''")
+def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """file, line (from 1), value of all JSONL files below root, or of those in paths; blank lines count but aren't given.
+
+    Files are read by lines in splits; a line's number is its place by split and by order within it."""
+    df = spark.read.text(paths or root) if paths else spark.read.text(root, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    df = df.select(F.concat(F.lit("/"), file_name_of(F.col("_metadata.file_path"), root)).alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return df.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("_at", "_id"))).where("trim(value) <> ''").select("file", "line", "value")
+
+
+def discover(spark: SparkSession, root: str, sessions: str | None = None) -> DataFrame:
+    """path, file, size, mtime_ms, src of transcript files: those below root by their names, and all below the sessions
+    folder, which is read only if it is given. A file that is below both is the root's."""
+
+    def below(folder: str) -> DataFrame:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder)
+        return df.select("path", F.concat(F.lit("/"), file_name_of(F.col("path"), folder)).alias("file"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
+
+    own = below(root).withColumn("src", T.kind_of(F.col("path"))).where("src is not null")
+    if sessions is None:
+        return own
+    return own.unionByName(below(sessions).withColumn("src", F.lit("cc")).join(own.select("path"), "path", "left_anti"))
 
 
 def _string(v: Column, path: str) -> Column:
@@ -106,17 +122,71 @@ def new_units(u: DataFrame, stored: DataFrame | None) -> DataFrame:
     return first if stored is None else first.join(stored.select("id"), "id", "left_anti")
 
 
-def ingest(spark: SparkSession, root: str, out: str) -> DataFrame:
-    """Read all transcripts below root, append what is new to the shards in out; gives what was added."""
-    u = units(parse_lines(classify(read_lines(spark, root))))
+def read_shards(spark: SparkSession, out: str, src: str | None = None, months: tuple[str, str] | None = None) -> DataFrame:
+    """The stored units, of one src and of months from and to where given: other shards aren't read. Shards that can't be
+    read are left out."""
+    df = spark.read.option("ignoreCorruptFiles", "true").parquet(out)
+    df = df if src is None else df.where(F.col("src") == src)
+    return df if months is None else df.where(F.col("month").between(*months) | (F.col("month") == "undated"))
+
+
+def _stored(spark: SparkSession, out: str) -> DataFrame | None:
     try:
-        stored = spark.read.parquet(out)
+        return spark.read.parquet(out)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise  # a store that can't be read is no empty one
-        stored = None
-    from engramlake.session import stage
-
-    added = stage(shards(new_units(u, stored)), "units")
+        return None
+
+
+def _add(u: DataFrame, out: str) -> DataFrame:
+    """Append the units that aren't stored to the shards in out; only shards of their own kind, project and month are read."""
+    spark = u.sparkSession
+    u = stage(shards(u), "units-read")
+    stored = _stored(spark, out)
+    if stored is not None:
+        keys = ["src", "slug", "month"]
+        stored = stored.join(F.broadcast(u.select(*keys).distinct()), keys, "left_semi")  # as many rows as shards
+    added = stage(new_units(u, stored), "units")
     added.write.mode("append").partitionBy("src", "slug", "month").parquet(out)
     return added
+
+
+def ingest(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """Read all transcripts below root, append what is new to the shards in out; gives what was added."""
+    return _add(units(parse_lines(classify(read_lines(spark, root)))), out)
+
+
+CURSOR = "file string, size long, mtime_ms long, lines long"
+
+
+def ingest_tails(spark: SparkSession, root: str, out: str, cursor: str, version: str, most: int | None = None) -> dict[str, int]:
+    """Read what has come to the transcripts below root since the last run, append it to the shards in out; gives counters.
+
+    The cursor (CURSOR, in versions) holds how far each file was read. Files of the same size and time aren't opened;
+    others go on after their last line; `most` bounds the files of a run, in the order of their names, and the others'
+    cursors stay. Units are told apart by id, so a run that ended before its cursor was written does no harm. Where files
+    have changed and give neither new nor known units, a parser is broken, and the run says so."""
+    from engramlake.sources.index import exists
+    from engramlake.sources.notes import read_version, write_version
+
+    had = read_version(spark, cursor) if exists(spark, f"{cursor}/_current") else spark.createDataFrame([], CURSOR)
+    had = stage(had, "cursor")
+    files = discover(spark, root).select("path", "file", "size", "mtime_ms")
+    changed = files.join(had, ["file", "size", "mtime_ms"], "left_anti").orderBy("file")
+    changed = stage(changed if most is None else changed.limit(most), "changed")
+    paths = [r["path"] for r in changed.select("path").collect()]  # the names that a listing holds anyway
+    if not paths:
+        return {"scanned": 0, "new": 0, "known": 0, "redacted": 0}
+    lines = read_lines(spark, root, paths)
+    read = stage(lines.join(had.select("file", "lines"), "file", "left").where("line > coalesce(lines, 0)").drop("lines"), "tails")
+    kinds = classify(lines).select("file", "kind").distinct()  # by their first lines, wherever the tail begins
+    u = stage(units(parse_lines(read.join(kinds, "file"))), "tail-units")
+    added, n = _add(u, out), u.count()
+    done = added.agg(F.count("*").alias("n"), F.coalesce(F.sum("redacted"), F.lit(0)).alias("redacted")).first()
+    if n == 0 and read.limit(1).count():
+        raise RuntimeError("changed files gave no units: see the parsers")
+    ends = lines.groupBy("file").agg(F.max("line").cast("long").alias("lines"))
+    now = changed.join(ends, "file", "left").select("file", "size", "mtime_ms", F.coalesce("lines", F.lit(0)).cast("long").alias("lines"))
+    write_version(had.join(now.select("file"), "file", "left_anti").unionByName(now), cursor, version)
+    return {"scanned": len(paths), "new": done["n"], "known": n - done["n"], "redacted": int(done["redacted"])}

@@ -11,20 +11,18 @@ from engramlake.sources import transcripts
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def ingest_messages(messages: DataFrame, out: str, checkpoint: str, files: int | None = None):
+def message_files(spark: SparkSession, root: str, schema: str, files: int | None = None) -> DataFrame:
+    """Stream the JSON files of messages below root, so many files a batch at most."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).json(root)
+
+
+def ingest_messages(messages: DataFrame, out: str, checkpoint: str):
     """Stream messages (file, line, kind, ts, role, text) into the shards in out; a unit that is there isn't added again,
-    so a batch that runs again changes nothing."""
+    so a batch that runs again changes nothing. Only the shards that a batch's units belong to are read."""
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(out)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        new = transcripts.new_units(transcripts.units(batch), stored)
-        transcripts.shards(new).write.mode("append").partitionBy("src", "slug", "month").parquet(out)
+        transcripts._add(transcripts.units(batch), out)
 
     return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
