@@ -22,12 +22,13 @@ def time_ms(ms: Column, date: Column) -> Column:
     return F.coalesce(ms, F.unix_millis(F.try_to_timestamp(date)))
 
 
-def all_pairs(rows: DataFrame, least: float, id: str = "id", digits: int = 6, keep_days: float | None = None, block: int = BLOCK) -> DataFrame:
+def all_pairs(rows: DataFrame, least: float, id: str = "id", digits: int = 6, keep_days: float | None = None, block: int = BLOCK, top: int | None = None) -> DataFrame:
     """(a, b, sim, days, shared) with a < b for pairs with sim >= least, and where keep_days is given also those within
     so many days or with shared entities. rows: id, vector, optionally ms and entities.
 
     Rows fall into blocks; each pair of blocks is one matrix product in a task of its own. Rows without a vector
-    are left out, and only vectors of one size are held against each other."""
+    are left out, and only vectors of one size are held against each other. top: only that many of the most similar pairs
+    leave a pair of blocks, ties by a and b."""
     n = rows.count()
     blocks = max(1, -(-n // block))
     have = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
@@ -68,7 +69,8 @@ def all_pairs(rows: DataFrame, least: float, id: str = "id", digits: int = 6, ke
         out = pd.DataFrame({"a": x["id"].to_numpy()[p], "b": y["id"].to_numpy()[q], "sim": sim[p, q], "days": days[p, q], "shared": shared[p, q]})
         swap = out["a"] > out["b"]
         out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
-        return out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
+        out = out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
+        return out if top is None else out.sort_values(["sim", "a", "b"], ascending=[False, True, True]).head(top)
 
     kind = dict(r.dtypes)["id"]
     return grid.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, sim double, days double, shared long").withColumn("days", F.nanvl("days", F.lit(None).cast("double")))
@@ -101,7 +103,7 @@ def build_links(notes: DataFrame, floor: float = FLOOR, ceil: float = CEIL, wind
 def near_duplicates(chunks: DataFrame, mid: float = MID, high: float = HIGH, top: int = 40) -> DataFrame:
     """a, b, sim, label (DUP or SIM) of the most similar files, each by its first chunk with a vector."""
     first = chunks.where("vector is not null").groupBy("rel").agg(F.min_by("vector", "ord").alias("vector"))
-    p = all_pairs(first, mid, id="rel")
+    p = all_pairs(first, mid, id="rel", top=top)
     return p.select("a", "b", "sim", F.when(F.col("sim") >= high, "DUP").otherwise("SIM").alias("label")).orderBy(F.desc("sim"), "a", "b").limit(top)
 
 

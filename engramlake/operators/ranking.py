@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from engramlake.functions import decay, text, vector
-from engramlake.session import shared_dir, stage
+from engramlake.session import release, stage
 
 RRF_K = 60
 
@@ -138,9 +138,8 @@ def degree_cap(edges: DataFrame, cap: int = 8, max_rounds: int = 200) -> DataFra
 
     In rounds: an undecided edge that is within both ends' free places, among their undecided ones, is kept; edges at
     a full end go. The strongest undecided edge is always kept, so this ends."""
-    shared_dir(edges.sparkSession)
     cols, order = edges.columns, [F.desc("weight"), F.asc("a"), F.asc("b")]
-    kept, open_ = None, edges.checkpoint()
+    kept, open_ = None, stage(edges, "cap-open")
     for _ in range(max_rounds):
         used = None
         if kept is not None:
@@ -149,9 +148,10 @@ def degree_cap(edges: DataFrame, cap: int = 8, max_rounds: int = 200) -> DataFra
         ends = ends.join(used, "n", "left") if used is not None else ends.withColumn("used", F.lit(0))
         ends = ends.withColumn("used", F.coalesce("used", F.lit(0)))
         state = ends.groupBy("a", "b").agg(F.max(F.col("place") + F.col("used")).alias("_need"), F.max("used").alias("_used"))
-        now = open_.join(state, ["a", "b"]).where(F.col("_used") < cap).checkpoint()
+        now = open_.join(state, ["a", "b"]).where(F.col("_used") < cap)
+        now = stage(now, "cap-round")
         new = now.where(F.col("_need") <= cap).select(*cols)
-        kept = (new if kept is None else kept.unionByName(new)).checkpoint()
+        kept = new if kept is None else kept.unionByName(new)  # parts of written rounds
         open_ = now.where(F.col("_need") > cap).select(*cols)
         if not open_.limit(1).count():
             return kept
@@ -160,25 +160,27 @@ def degree_cap(edges: DataFrame, cap: int = 8, max_rounds: int = 200) -> DataFra
 
 def mmr(candidates: DataFrame, k: int = 8, penalty: float = 0.5) -> DataFrame:
     """Per seed: k candidates (seed, id, rel, vector) by relevance less penalty times the most similarity to those
-    taken, negative similarity as 0; ties by relevance, then id. Adds redundancy, mmr and pos (from 0)."""
-
-    def pick(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["rel", "id"], ascending=[False, True]).reset_index(drop=True)
-        v = np.array(pdf["vector"].tolist(), float)
-        n = np.linalg.norm(v, axis=1)
-        v = v / np.where(n == 0, 1, n)[:, None]
-        near, left, rows = np.zeros(len(pdf)), np.ones(len(pdf), bool), []
-        for pos in range(min(k, len(pdf))):
-            value = np.round(pdf["rel"].to_numpy() - penalty * near, 12)
-            i = int(np.argmax(np.where(left, value, -np.inf)))
-            rows.append((pdf["seed"][i], pdf["id"][i], float(pdf["rel"][i]), float(near[i]), float(value[i]), pos))
-            left[i] = False
-            near = np.maximum(near, np.clip(v @ v[i], 0, None))
-        import pandas as pd
-
-        return pd.DataFrame(rows, columns=["seed", "id", "rel", "redundancy", "mmr", "pos"])
-
-    kinds = dict(candidates.dtypes)
-    return candidates.groupBy("seed").applyInPandas(pick, f"seed {kinds['seed']}, id {kinds['id']}, rel double, redundancy double, mmr double, pos long")
+    taken, negative similarity as 0; ties by relevance, then id. Adds redundancy, mmr and pos (from 0).
+
+    One pass over the candidates for each place: every one is held against what its seed has taken, and the best are found
+    by partial aggregates, so a seed's candidates may be spread over any number of tasks."""
+    pool = stage(candidates.select("seed", "id", F.col("rel").cast("double").alias("rel"), F.col("vector").cast("array<double>").alias("vector")), "mmr")
+    taken = None
+    for pos in range(k):
+        rows, near = pool, F.lit(0.0)
+        if taken is not None:
+            rows = pool.join(taken, "seed").where(~F.exists("picked", lambda p: p["id"] == F.col("id")))
+            near = F.greatest(F.lit(0.0), F.array_max(F.transform("picked", lambda p: F.coalesce(vector.cosine(F.col("vector"), p["vector"]), F.lit(0.0)))))
+        rows = rows.withColumn("redundancy", near).withColumn("mmr", F.round(F.col("rel") - penalty * F.col("redundancy"), 12))
+        order = F.struct((-F.col("mmr")).alias("m"), (-F.col("rel")).alias("r"), "id")
+        best = rows.groupBy("seed").agg(F.min_by(F.struct("id", "rel", "redundancy", "mmr", F.lit(pos).cast("long").alias("pos"), "vector"), order).alias("best"))
+        if taken is None:
+            new = best.select("seed", F.array("best").alias("picked"))
+        else:
+            new = taken.join(best, "seed", "left").select("seed", F.when(F.col("best").isNull(), F.col("picked")).otherwise(F.array_append("picked", F.col("best"))).alias("picked"))
+        new = stage(new, "mmr-taken")
+        if taken is not None:
+            release(taken)
+        taken = new
+    release(pool)
+    return taken.select("seed", F.explode("picked").alias("p")).select("seed", "p.id", "p.rel", "p.redundancy", "p.mmr", "p.pos")

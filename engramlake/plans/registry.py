@@ -449,13 +449,24 @@ def p02(spark, sf):
     return d.select("doc_id", "m.type", "m.status", "m.date", F.array_join("m.tags", ",").alias("tags"), F.md5(T.without_front_matter(F.col("note"))).alias("body_md5"))
 
 
-@query("p05_p07_transcript_lines", "select '/w/memory/threads/' || conv_id || '.jsonl' as file, turn + 1 as line, 'thread' as kind, 'user' as role, md5(text) as text_md5 from conversations where trim(text) <> ''")
+@query(
+    "p05_p07_transcript_lines",
+    """select case role when 'user' then '/w/memory/threads/' when 'assistant' then '/h/.claude/projects/p/' else '/w/session-archive-' end || conv_id || '.jsonl' as file, turn + 1 as line,
+  case role when 'user' then 'thread' when 'assistant' then 'engineer' else 'archive' end as kind, case role when 'assistant' then 'assistant' else 'user' end as role,
+  md5(case role when 'assistant' then text || chr(10) || 'second block' when 'user' then text else trim(text) end) as text_md5 from conversations where trim(text) <> ''""",
+)
 def p05(spark, sf):
     from engramlake.sources import transcripts
 
-    said = F.to_json(F.struct(F.lit("user_message").alias("type"), F.lit("2024-01-01").alias("timestamp"), F.struct(F.col("text").alias("content")).alias("data")))
-    file = F.concat(F.lit("/w/memory/threads/"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
-    lines = table(spark, sf, "conversations").select(file.alias("file"), (F.col("turn") + 1).alias("line"), said.alias("value"))
+    thread = F.to_json(F.struct(F.lit("user_message").alias("type"), F.lit("2024-01-01").alias("timestamp"), F.struct(F.col("text").alias("content")).alias("data")))
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.array(block("text", F.col("text")), block("thinking", F.lit("hidden")), block("text", F.lit('{"type":"tool"}')), block("text", F.lit("second block")))
+    session = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(blocks.alias("content")).alias("message")))
+    labelled = F.concat(F.lit('Conversation info (untrusted metadata):\n```json\n{"a": 1}\n```\n'), "text")
+    archived = F.to_json(F.struct(F.lit("message").alias("type"), F.struct(F.lit("user").alias("role"), labelled.alias("content")).alias("message")))
+    by = lambda user, assistant, other: F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(other)
+    file = F.concat(by(F.lit("/w/memory/threads/"), F.lit("/h/.claude/projects/p/"), F.lit("/w/session-archive-")), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    lines = table(spark, sf, "conversations").select(file.alias("file"), (F.col("turn") + 1).alias("line"), by(thread, session, archived).alias("value"))
     return transcripts.parse_lines(transcripts.classify(lines)).select("file", "line", "kind", "role", F.md5("text").alias("text_md5"))
 
 
