@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from engramlake.llm import exact_dedup, mixing, packing, quality, queries, simhash
-from engramlake.session import stage, table
+from engramlake.session import release, stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each result but the last written and read again; it goes when the next one is written
+    (the last stage writes its pieces before it returns)."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for k, (name, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, f"pipeline-{name}")
+        if written is not None:
+            release(written)
+        written = docs
     return docs
