@@ -192,3 +192,10 @@ DATASETS = """
 select 'turns' as kind, conv_id || '/D1:' || turn as id, md5(role || ': ' || text) as text_md5 from conversations where text <> ''
 union all select 'sessions', 'q' || conv_id || '/s' || conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn)) from conversations group by conv_id
 union all select 'asked', 'q' || conv_id || '/s' || conv_id, md5('Who said ' || conv_id || '?') from conversations group by conv_id"""
+
+NOTES = f"""with {CHUNKS.replace("with lines", "lines").rsplit("select doc_id, n::int", 1)[0].strip().rstrip(",")},
+chunk as (select 'memory/' || source || '/' || doc_id || '.md' as rel, c[n + 1].start as start_line, c[n + 1].text as text from whole join documents using (doc_id), unnest(range(len(c))) as u(n))
+select row_number() over (order by rel, start_line) - 1 as ord, rel, start_line::int as start_line, 'note' as type, 'active' as status, md5(text) as text_md5 from chunk"""
+
+TAILS = f"""with {UNITS}
+select id, any_value(src) as src, any_value(month) as month from (select *, 'thread' as src, '2024-01' as month from units) group by id"""

@@ -625,6 +625,34 @@ def g10(spark, sf):
     return jobs.to_phrase(insights, views.chunk(spark, sf).select(F.col("ord").cast("string").alias("id"), "text"))
 
 
+@query("s01_s04_s12_notes", oracles.NOTES)
+def s01(spark, sf):
+    """Notes as files, written, found again and cut."""
+    from engramlake.sources import notes
+
+    root, d = new_folder(spark, "notes"), table(spark, sf, "documents").where("text is not null")
+    notes.write_files(d.select(F.concat(F.lit("memory/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("value")), root)
+    c = notes.note_chunks(notes.scan_notes(spark, root))
+    return c.select("ord", "rel", "start_line", "type", "status", F.md5("text").alias("text_md5"))
+
+
+@query("s02_s05_t02_tails", oracles.TAILS)
+def s02(spark, sf):
+    """Transcripts as files, read by their tails in two runs, and their shards read back."""
+    from engramlake.sources import notes, transcripts
+
+    root, out, cursor = (new_folder(spark, n) for n in ("transcripts", "shards", "cursor"))
+    said = F.to_json(F.struct(F.lit("user_message").alias("type"), F.lit("2024-01-01").alias("timestamp"), F.struct(F.col("text").alias("content")).alias("data")))
+    lines = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("value")))).alias("l"))
+    files = lines.select(F.concat(F.lit("threads/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.transform("l", lambda x: x["value"]).alias("v"))
+    whole = lambda v: F.concat(F.array_join(v, "\n"), F.lit("\n"))
+    notes.write_files(files.select("path", whole(F.slice("v", 1, 1)).alias("value")), root)
+    transcripts.ingest_tails(spark, root, out, cursor, "1")
+    notes.write_files(files.where("size(v) > 1").select("path", whole("v").alias("value")), root)
+    transcripts.ingest_tails(spark, root, out, cursor, "2")
+    return transcripts.read_shards(spark, out, "thread").select("id", "src", "month")
+
+
 @query("w13_heads", oracles.HEADS)
 def w13(spark, sf):
     return jobs.heads(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content")), 3)
