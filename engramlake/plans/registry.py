@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from engramlake.functions import decay as D, text as T, vector as V
 from engramlake.operators import graph, links, metrics, ranking
-from engramlake.plans import jobs, oracles, views
+from engramlake.plans import jobs, oracles, upkeep, views
 from engramlake.plans.views import CHUNK, ENTRIES, NOW, QUERY
 from engramlake.session import new_folder, table
 
@@ -741,6 +741,100 @@ def q17(spark, sf):
     return out.unionByName(queries.unionByName(none).select(F.lit("asked").alias("kind"), F.col("relevant")[0].alias("id"), F.md5("query").alias("text_md5")))
 
 
+# --- upkeep ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "x30_q22_triggers_and_routes",
+    f"""with a as (select conv_id, turn, case turn % 4 when 0 then 'Please remember that ' when 1 then 'Scratch that: ' when 2 then 'How do I ' else '' end || lower(text) as t from conversations)
+select conv_id, turn, case when regexp_matches(t, {oracles.quoted(upkeep.FORGET, True)}) then 'forget' when regexp_matches(t, {oracles.quoted(upkeep.REMEMBER, True)}) then 'remember'
+    when regexp_matches(t, {oracles.quoted(upkeep.REFLECT, True)}) then 'reflect' end as trigger,
+  case when contains(t, 'when did') then 'episodic' when contains(t, 'what do you know') then 'semantic' when contains(lower(t), 'how do i') then 'procedural'
+    when contains(t, 'what''s the latest') then 'recent' else 'core' end as store from a""",
+)
+def x30(spark, sf):
+    said = F.element_at(F.array(*map(F.lit, ("Please remember that ", "Scratch that: ", "How do I ", ""))), (F.col("turn") % 4 + 1).cast("int"))
+    c = table(spark, sf, "conversations").withColumn("t", F.concat(said, F.lower("text")))
+    return c.select("conv_id", "turn", upkeep.trigger(F.col("t")).alias("trigger"), upkeep.route(F.col("t")).alias("store"))
+
+
+_KIND = "['decision', 'fact', 'preference', 'rumour'][(turn % 4 + 1)::int]"
+
+
+@query(
+    "q21_episodes",
+    f"""with k as (select *, {_KIND} as type, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+', ''), '\\s+$', '')) as body,
+    row_number() over (partition by conv_id order by turn) - 1 as pos from conversations)
+select conv_id::varchar as name, pos::int as pos, lpad((turn % 24)::varchar, 2, '0') || ':30' as time, type, 'high' as confidence, role || ',memory' as tags, body as text from k where type <> 'rumour'""",
+)
+def q21(spark, sf):
+    """Conversations as daily logs, an entry a turn, parsed again."""
+    kind = F.element_at(F.array(*map(F.lit, ("decision", "fact", "preference", "rumour"))), (F.col("turn") % 4 + 1).cast("int"))
+    head = F.concat(F.lit("## "), F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":30 | "), kind, F.lit(" | confidence:high | tags:["), "role", F.lit(", memory]\n"))
+    entry = F.struct("turn", F.concat(head, F.regexp_replace("text", r"\s+", " ")).alias("e"))
+    logs = table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("name")).agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    content = F.concat(F.lit("# Log\n\n"), F.array_join(F.transform("l", lambda x: x["e"]), "\n\n"))
+    e = upkeep.episodes(logs.select("name", content.alias("content")))
+    return e.select("name", "pos", "time", "type", "confidence", F.array_join("tags", ",").alias("tags"), "text")
+
+
+@query(
+    "q18_reflection_scope",
+    _with(ENTRIES) + f"""select 'episode' as what, doc_id::varchar as id from documents where {NOW} - doc_id * 3600000 > {NOW} - 86400000 * 3 union all select 'entity', rel from entries where importance > 0.3""",
+)
+def q18(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.lit(NOW) - F.col("doc_id") * 3_600_000).alias("ms"))
+    e = views.entries(spark, sf).select(F.col("rel").alias("id"), F.col("importance").alias("score"))
+    return upkeep.reflection_scope(d, e, NOW - 3 * 86_400_000, NOW)
+
+
+_AUDIT = "a as (select strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as timestamp, event_type as action, user_id::varchar as file, 'job:' || event_type as actor, event_id from events)"
+
+
+@query("q20_audit_rows", f"with {_AUDIT} (select 'last' as what, event_id from a order by timestamp desc, action, file, actor, event_id limit 30) union all select 'file', event_id from a where file = '7' union all select 'clicks', event_id from a where actor like 'job:cl%' and action in ('click', 'view')")
+def q20(spark, sf):
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    a = table(spark, sf, "events").select(stamp.alias("timestamp"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("file"), F.concat(F.lit("job:"), "event_type").alias("actor"), "event_id")
+    part = lambda what, df: df.select(F.lit(what).alias("what"), "event_id")
+    out = part("last", upkeep.audit_rows(a, last=30)).unionByName(part("file", upkeep.audit_rows(a, file="7")))
+    return out.unionByName(part("clicks", upkeep.audit_rows(a, actor="job:cl", actions=("click", "view"))))
+
+
+@query(
+    "q23_retention",
+    """with n as (select lang as series, doc_id as date, row_number() over (partition by lang order by doc_id desc) as n from documents)
+select series, date, case when n <= 10 then 'full' when n <= 50 then 'line' else 'archive' end as tier from n""",
+)
+def q23(spark, sf):
+    return upkeep.retention(table(spark, sf, "documents").select(F.col("lang").alias("series"), F.col("doc_id").alias("date")))
+
+
+@query(
+    "q24_alerts",
+    """select doc_id::varchar as file, case when lang = 'en' then 'changed' else 'unauthorised' end as why from documents
+where doc_id in (select doc_id from labels) and doc_id not in (select doc_id from labels where quality = 1)""",
+)
+def q24(spark, sf):
+    """Labelled documents are critical; those of good quality are as known; English ones were changed by hand."""
+    d, marks = table(spark, sf, "documents"), table(spark, sf, "labels")
+    files = d.select(F.col("doc_id").cast("string").alias("file"), F.md5(F.coalesce("text", F.lit(""))).alias("checksum"), F.when(F.col("lang") == "en", "manual").otherwise("job").alias("actor"))
+    known = files.join(marks.where("quality = 1").select(F.col("doc_id").cast("string").alias("file")).distinct(), "file", "left_semi").select("file", "checksum")
+    return upkeep.alerts(files, known, marks.select(F.col("doc_id").cast("string").alias("file")))
+
+
+@query(
+    "q25_proposals",
+    """with p as (select item_id as id, ['commit', 'reject', 'defer', null][(item_id % 4 + 1)::int] as d from benchmark)
+select id, case when d = 'commit' and id % 8 = 0 then '00-core' else '02-semantic' end as store, case d when 'commit' then 'committed' when 'reject' then 'rejected' else 'pending' end as status,
+  case d when 'commit' then 'CREATE' when 'reject' then 'REJECT' end as action, case when d in ('commit', 'reject') then 'bot:commit-from:scout' end as actor from p""",
+)
+def q25(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    decision = F.element_at(F.array(F.lit("commit"), F.lit("reject"), F.lit("defer"), F.lit(None).cast("string")), (F.col("id") % 4 + 1).cast("int"))
+    decisions = b.select("id", decision.alias("decision"), F.when(F.col("id") % 8 == 0, "00-core").alias("store")).where("decision is not null")
+    return upkeep.settle(b.withColumn("store", F.lit("02-semantic")), decisions, "scout")
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

@@ -145,8 +145,8 @@ def _add(u: DataFrame, out: str) -> DataFrame:
     u = stage(shards(u), "units-read")
     stored = _stored(spark, out)
     if stored is not None:
-        keys = ["src", "slug", "month"]
-        stored = stored.join(F.broadcast(u.select(*keys).distinct()), keys, "left_semi")  # as many rows as shards
+        for key in ("src", "slug", "month"):  # as many values as there are kinds, projects and months
+            stored = stored.where(F.col(key).isin([r[0] for r in u.select(key).distinct().collect()]))
     added = stage(new_units(u, stored), "units")
     added.write.mode("append").partitionBy("src", "slug", "month").parquet(out)
     return added
