@@ -29,11 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
-        # Stars: no node is both a centre and a point.
-        tangled = new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
         release(e)
         e = new
-        if not tangled and _is_star(e):
+        if _is_star(e):
             break
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
@@ -41,5 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 def _is_star(e: DataFrame) -> bool:
-    """Whether each point has one centre."""
-    return not e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    """Whether each point has one centre, and no node is both."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("points"), F.lit(0).alias("centres")).union(e.select("v", F.lit(0), F.lit(1)))
+    both = ends.groupBy("n").agg(F.sum("points").alias("points"), F.max("centres").alias("centres"))
+    return not both.where("points > 1 or points = 1 and centres = 1").limit(1).count()

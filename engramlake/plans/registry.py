@@ -11,7 +11,7 @@ from engramlake.functions import decay as D, text as T, vector as V
 from engramlake.operators import graph, links, metrics, ranking
 from engramlake.plans import jobs, oracles, upkeep, views
 from engramlake.plans.views import CHUNK, ENTRIES, NOW, QUERY
-from engramlake.session import new_folder, table
+from engramlake.session import new_folder, stage, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -322,7 +322,7 @@ def a01(spark, sf):
 
 
 def _rounds(spark, sf):
-    p = links.all_pairs(_notes(spark, sf), MID).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("sim").alias("weight"))
+    p = stage(links.all_pairs(_notes(spark, sf), MID).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("sim").alias("weight")), "pairs")
     g = spark.createDataFrame([], graph.EDGE)
     for n, floor in enumerate((MID, 0.38, MID), 1):
         g = graph.reinforce(g, p.where(F.col("weight") >= floor), n)
@@ -355,7 +355,7 @@ select a, b, rec::bigint as recurrence, 1::bigint as first_round, last::bigint a
 )
 def g03(spark, sf):
     """Edges last seen 13 rounds ago are forgotten, those of 12 rounds ago have faded."""
-    p = links.all_pairs(_notes(spark, sf), MID).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("sim").alias("weight"))
+    p = stage(links.all_pairs(_notes(spark, sf), MID).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("sim").alias("weight")), "pairs")
     g = spark.createDataFrame([], graph.EDGE)
     for n, floor in ((1, MID), (2, 0.38), (14, 0.40)):
         g = graph.reinforce(g, p.where(F.col("weight") >= floor), n)
