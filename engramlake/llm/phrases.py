@@ -223,6 +223,6 @@ def compare(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = ranges or partitions(spark)
     dealt, n = _ranges(d, n)
-    dealt = dealt.withColumn("_task", F.get(F.array(*map(F.lit, _apart(spark, n))), "_range"))
+    dealt = dealt.withColumn("_task", F.get(F.array(*(F.lit(i).cast("long") for i in _apart(spark, n))), "_range"))
     dealt = dealt.repartition(n, "_task").sortWithinPartitions("_range", "_tail", F.desc("_key"), "text")
     return dealt.select("doc_id", "text", "_range", "_tail").mapInArrow(run, RESULT)

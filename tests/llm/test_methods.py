@@ -523,3 +523,11 @@ def test_normalising_again_finds_what_stands(spark):
     one = sorted(warc.normalise_all(mono).collect())
     assert sorted(warc.normalise_all(mono).collect()) == one and sum(r["n_records"] for r in one) == pages.count()
     assert warc.read(warc.normalise_all(mono)).count() == pages.count()
+
+
+def test_ranges_go_to_tasks_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    numbers = phrases._apart(spark, 50)
+    dealt = spark.createDataFrame([(x,) for x in numbers], "x long").repartition(50, "x")
+    assert len(set(numbers)) == 50 and dealt.select(F.spark_partition_id()).distinct().count() == 50
