@@ -178,3 +178,15 @@ def test_small_helpers(spark):
     matches = F.array(F.struct(F.lit("p.md").alias("path"), F.lit(0.9).alias("score"), F.lit("a snippet").alias("snippet")))
     prompt = spark.range(1).select(links.verdict_prompt(F.lit("new  text"), matches).alias("p")).first()["p"]
     assert "New: new text" in prompt and "- p.md (0.900): a snippet" in prompt
+
+
+def test_messages_stream_in_bounded_batches(spark, tmp_path):
+    from engramlake.streaming import jobs as streams
+
+    schema = "file string, line int, kind string, ts string, role string, text string"
+    for k in range(3):
+        put(f"{tmp_path}/in/{k}.json", json.dumps({"file": f"/threads/{k}.jsonl", "line": 1, "kind": "thread", "ts": "2024-05-01", "role": "user", "text": f"a message of file number {k}"}))
+    messages = streams.message_files(spark, f"{tmp_path}/in", schema, 1)
+    streams.ingest_messages(messages, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+    assert X.read_shards(spark, f"{tmp_path}/out").count() == 3
+    assert len([f for f in os.listdir(f"{tmp_path}/mark/commits") if f.isdigit()]) == 3
