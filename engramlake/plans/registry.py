@@ -39,6 +39,7 @@ _RANKED = """ranked as (select *, case when sem is not null then row_number() ov
 fused as (select *, coalesce(1.0::double / (60 + sem_rank), 0) + coalesce(1.0::double / (60 + kw_rank), 0) as rrf from ranked)"""
 _FACTOR = f"""least(1.5, greatest(0.3, (1 + 0.5 * pow(2, -d / 30) - 0.7 * (1 - pow(2, -d / 180))) * least(1.5, 1 + 0.15 * log2(access + 1)) * importance / 0.5))"""
 _AGED = f"aged as (select *, greatest(0, ({NOW} - last_ms) / 86400000.0::double) as d from entries)"
+_SURFACE = "importance / 0.5 * (1 - pow(2, -d / 21)) / (1 + 0.5 * log2(access + 1))"
 _PAIRS = "pairs as (select x.ord as a, y.ord as b, x.rel as ra, y.rel as rb, x.date as da, y.date as db, round(list_cosine_similarity(x.vector, y.vector), 6) as sim from chunk x join chunk y on x.ord < y.ord and x.vector is not null and y.vector is not null)"
 
 
@@ -93,7 +94,16 @@ def x17(spark, sf):
     return table(spark, sf, "documents").select(F.explode(T.topics(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("x18_theme_labels", _with(CHUNK.replace("left join", "join"), f"w as (select label, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 and w not in ({', '.join(map(repr, T.TOPIC_STOP))}) and not regexp_full_match(w, '[0-9]+')))) as word from chunk)", "n as (select label, word, count(*) as n from w group by 1, 2 having count(*) >= 2)", "r as (select *, row_number() over (partition by label order by n desc, word) as r from n)") + "select label::varchar as cluster, string_agg(word, ' · ' order by r) as theme from r where r <= 3 group by 1")
+@query(
+    "x18_theme_labels",
+    _with(
+        CHUNK.replace("left join", "join"),
+        f"w as (select label, unnest(list_distinct({oracles.WORDS.format('text')})) as word from chunk)",
+        "n as (select label, word, count(*) as n from w group by 1, 2 having count(*) >= 2)",
+        "r as (select *, row_number() over (partition by label order by n desc, word) as r from n)",
+    )
+    + "select label::varchar as cluster, string_agg(word, ' · ' order by r) as theme from r where r <= 3 group by 1",
+)
 def x18(spark, sf):
     c = views.chunk(spark, sf).where("label is not null")
     return graph.theme_labels(c.select(F.col("label").cast("string").alias("cluster"), F.col("ord").alias("id")), c.select(F.col("ord").alias("id"), "text"))
@@ -231,7 +241,14 @@ def a05(spark, sf):
     return jobs.merge_access(views.entries(spark, sf), hits, NOW)
 
 
-@query("q06_x06_surface", _with(ENTRIES, _AGED) + "select rel, round(importance / 0.5 * (1 - pow(2, -d / 21)) / (1 + 0.5 * log2(access + 1)), 9) as score, round(d, 6) as age_days, access, importance, (case when importance >= 0.75 then 'high-importance' when importance <= 0.35 then 'low-importance' else 'important' end) || ' · last seen ' || round(d)::bigint || 'd ago · ' || access || ' recall' || (case when access = 1 then '' else 's' end) as reason from aged where d >= 3 order by 2 desc, rel limit 5")
+@query(
+    "q06_x06_surface",
+    _with(ENTRIES, _AGED)
+    + f"""select rel, round({_SURFACE}, 9) as score, round(d, 6) as age_days, access, importance,
+  (case when importance >= 0.75 then 'high-importance' when importance <= 0.35 then 'low-importance' else 'important' end)
+  || ' · last seen ' || round(d)::bigint || 'd ago · ' || access || ' recall' || (case when access = 1 then '' else 's' end) as reason
+from aged where d >= 3 order by 2 desc, rel limit 5""",
+)
 def q06(spark, sf):
     return jobs.surface(views.entries(spark, sf), NOW)
 
@@ -257,9 +274,6 @@ def q13(spark, sf):
     return jobs.advise(s, 800, 200)
 
 
-_SURFACE = "importance / 0.5 * (1 - pow(2, -d / 21)) / (1 + 0.5 * log2(access + 1))"
-
-
 @query(
     "q07_q09_consolidate",
     _with(
@@ -289,10 +303,21 @@ def _notes(spark, sf):
     return c.select(F.col("ord").alias("id"), "vector", links.time_ms(F.lit(None).cast("long"), F.col("date")).alias("ms"), F.array(F.concat(F.lit("E"), (F.col("ord") % 97).cast("string"))).alias("entities"))
 
 
-_LINKS = _with(CHUNK, _PAIRS, "l as (select a, b, sim, abs(date_diff('day', da::date, db::date))::double as days, (a % 97 = b % 97)::int as shared from pairs)", "w as (select *, case when sim >= 0.35 then 0.15 + 0.85 * least(1, greatest(0, (sim - 0.35) / (0.85::double - 0.35::double))) else 0 end as s, case when days <= 14 then 1 - days / 14 else 0 end as t, least(1, shared / 3.0::double) as e from l where sim < 0.85)")
+_LINKS = _with(
+    CHUNK, _PAIRS,
+    "l as (select a, b, sim, abs(date_diff('day', da::date, db::date))::double as days, (a % 97 = b % 97)::int as shared from pairs)",
+    """w as (select *, case when sim >= 0.35 then 0.15 + 0.85 * least(1, greatest(0, (sim - 0.35) / (0.85::double - 0.35::double))) else 0 end as s,
+  case when days <= 14 then 1 - days / 14 else 0 end as t, least(1, shared / 3.0::double) as e from l where sim < 0.85)""",
+)
 
 
-@query("j02_x08_g01_links", _LINKS + "select a, b, sim, days, shared::bigint as shared, round(least(1, 0.60::double * s + 0.25::double * t + 0.15::double * e), 6) as weight, array_to_string(list_filter([case when s > 0 then 'semantic' end, case when t > 0 then 'temporal' end, case when e > 0 then 'entity' end], lambda x: x is not null), ' + ') as reason from w where round(0.60 * s + 0.25 * t + 0.15 * e, 6) > 0")
+@query(
+    "j02_x08_g01_links",
+    _LINKS
+    + """select a, b, sim, days, shared::bigint as shared, round(least(1, 0.60::double * s + 0.25::double * t + 0.15::double * e), 6) as weight,
+  array_to_string(list_filter([case when s > 0 then 'semantic' end, case when t > 0 then 'temporal' end, case when e > 0 then 'entity' end], lambda x: x is not null), ' + ') as reason
+from w where round(0.60 * s + 0.25 * t + 0.15 * e, 6) > 0""",
+)
 def g01(spark, sf):
     return links.build_links(_notes(spark, sf), per_node=None).drop("signals")
 
@@ -399,7 +424,14 @@ def p01(spark, sf):
     return d.select("doc_id", "n", "c.start_line", F.md5("c.text").alias("text_md5"))
 
 
-@query("p03_p04_p20_p21_paths", "with p as (select doc_id, ['memory/05-connections/a.md', 'memory/02-semantic/patterns/b.md', 'memory/01-episodic/2024-03-05.md', 'memory/02-semantic/c.md', 'notes/2024-03-05.md', 'SOUL.md', 'x/templates/t.md'][(doc_id % 7 + 1)::int] as rel, left(split_part(text, chr(10), 1), 80) as title from documents) select doc_id, ['connection', 'pattern', 'episodic', 'semantic', 'episodic', 'core', 'template'][(doc_id % 7 + 1)::int] as kind, regexp_extract(rel, '[0-9]{4}-[0-9]{2}-[0-9]{2}') as date, left(coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'note'), 50) as slug from p")
+@query(
+    "p03_p04_p20_p21_paths",
+    """with p as (select doc_id, ['memory/05-connections/a.md', 'memory/02-semantic/patterns/b.md', 'memory/01-episodic/2024-03-05.md', 'memory/02-semantic/c.md',
+    'notes/2024-03-05.md', 'SOUL.md', 'x/templates/t.md'][(doc_id % 7 + 1)::int] as rel, left(split_part(text, chr(10), 1), 80) as title from documents)
+select doc_id, ['connection', 'pattern', 'episodic', 'semantic', 'episodic', 'core', 'template'][(doc_id % 7 + 1)::int] as kind,
+  regexp_extract(rel, '[0-9]{4}-[0-9]{2}-[0-9]{2}') as date,
+  left(coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'note'), 50) as slug from p""",
+)
 def p03(spark, sf):
     paths = ["memory/05-connections/a.md", "memory/02-semantic/patterns/b.md", "memory/01-episodic/2024-03-05.md", "memory/02-semantic/c.md", "notes/2024-03-05.md", "SOUL.md", "x/templates/t.md"]
     rel = F.element_at(F.array(*map(F.lit, paths)), (F.col("doc_id") % 7 + 1).cast("int"))
@@ -534,7 +566,13 @@ def x21(spark, sf):
     return jobs.digest(jobs.capture(_window(spark, sf), NOW, NOW).select("ord", "role", "text"))
 
 
-@query("q14_stale_logs", f"with l as (select event_type as name, epoch_us(max(ts)) // 1000 as ms from events group by 1), w as (select * from (values ('click', 1.0), ('purchase', 1e9), ('absent', 1.0)) t(name, most)) select name, round(({NOW} - ms) / 3600000.0::double, 3) as hours, case when ms is null then 'missing' when ({NOW} - ms) / 3600000.0::double > most then 'stale' else 'fresh' end as state from w left join l using (name)")
+@query(
+    "q14_stale_logs",
+    f"""with l as (select event_type as name, epoch_us(max(ts)) // 1000 as ms from events group by 1),
+w as (select * from (values ('click', 1.0), ('purchase', 1e9), ('absent', 1.0)) t(name, most))
+select name, round(({NOW} - ms) / 3600000.0::double, 3) as hours,
+  case when ms is null then 'missing' when ({NOW} - ms) / 3600000.0::double > most then 'stale' else 'fresh' end as state from w left join l using (name)""",
+)
 def q14(spark, sf):
     logs = table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("mtime_ms"))
     return jobs.stale_logs(logs, {"click": 1.0, "purchase": 1e9, "absent": 1.0}, NOW)
