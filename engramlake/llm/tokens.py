@@ -12,8 +12,8 @@ import re
 import struct
 from functools import lru_cache
 
-#: Words and parts of words that a worker remembers at most, and the longest word that it remembers.
-WORDS, PARTS, LONGEST = 700_000, 700_000, 48
+#: Words, parts of words among them, that a worker remembers at most, and the longest word that it remembers.
+WORDS, LONGEST = 700_000, 48
 #: Letters that are composed, have one lower-case letter each and stand in the text's own encoding; then ASCII
 #: punctuation, without what contractions and special tokens are made of.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{}~]*)")
@@ -35,11 +35,16 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[str, bytes] = {"": b""}
 
     def __missing__(self, word: str) -> bytes:
         match = SIMPLE.fullmatch(word)
-        ids = self.part(match[1].lower()) + self.part(match[2]) if match else self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if match is None:
+            ids = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        elif word in (low := match[1].lower(), match[2]):  # a part itself
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_characters())
+            ids = self.packed([t.id for t in self.model.tokenize(shown)]) if word else b""
+        else:
+            ids = self[low] + self[match[2]]
         if len(word) <= LONGEST:
             if len(self) >= WORDS:
                 self.clear()
@@ -50,16 +55,6 @@ class WordIds(dict):
     def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.packed([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_characters()))])
-            if len(part) <= LONGEST:
-                if len(self.parts) >= PARTS:
-                    self.parts = {"": b""}
-                self.parts[part] = ids
-        return ids
-
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" "))) if text else b""
 

@@ -139,3 +139,19 @@ def test_mix_of_copies(spark):
         assert sum(r["taken"] for r in own) == int(own[0]["target"])
     assert sorted(map(tuple, m)) == sorted(map(tuple, mixing.mix(d, block=16).collect()))
     assert mixing.mixed_documents(d).columns == d.columns
+
+
+def test_words_and_their_parts_are_remembered_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from engramlake.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, text = tokens.WordIds(path), "Straße, straße Straße. word WORD, (word) it's été 12,5 ..."
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert words.encode(text) == words.packed(want)
+    assert not hasattr(words, "parts") and {"word", "straße", ","} <= set(words)
+    monkeypatch.setattr(tokens, "WORDS", 3)
+    few = tokens.WordIds(path)
+    assert few.encode(text) == words.packed(want) and len(few) <= 3
