@@ -311,3 +311,13 @@ def test_mmr_by_seed_equals_passes(spark):
     shown = lambda df: {(r.seed, r.pos): (r.id, r.rel, round(r.redundancy, 9), round(r.mmr, 9)) for r in df.collect()}
     got = shown(ranking.mmr(c))
     assert len(got) == 32 and got == shown(ranking.mmr(c, most=10))
+
+
+def test_capped_links_of_named_notes_without_dates(spark):
+    """As the learn job has them: ids are names, there are no times and no entities."""
+    rng = random.Random(6)
+    notes = spark.createDataFrame([(f"n/{i}", [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)], "id string, vector array<double>")
+    every = links.build_links(notes, floor=0.2, per_node=None).collect()
+    want = greedy([(r.weight, r.a, r.b) for r in every], 2)
+    options = {"floor": 0.2, "ceil": 0.85, "window": 14.0}
+    assert {(r.a, r.b) for r in links.capped(notes, 2, options, 60).collect()} == want
