@@ -652,7 +652,7 @@ def a09(spark, sf):
 @query("g09_q05_learn", _with(CHUNK).rstrip() + "," + oracles.LEARNED)
 def g09(spark, sf):
     none = spark.createDataFrame([], graph.EDGE)
-    _, clusters, _ = jobs.learn(views.chunk(spark, sf), none, spark.createDataFrame([], graph.INSIGHT), 1, NOW, 0.2, least=2, recurrence=1, strength=0.3)
+    _, clusters, _ = jobs.learn(views.embedded(spark, sf), none, spark.createDataFrame([], graph.INSIGHT), 1, NOW, 0.2, least=2, recurrence=1, strength=0.3)
     return clusters.select("cluster", F.array_join("members", ",").alias("members"), "n_edges", "density", "strength", "theme")
 
 

@@ -336,3 +336,12 @@ def test_pairs_of_blocks_are_read_not_shuffled(spark):
     of = {n: sorted(x for x in held[n, n]) for n in range(9)}
     assert sorted(x for n in of for x in of[n]) == sorted((o, i) for o, i in {x for v in held.values() for x in v}) and sum(map(len, of.values())) == 90
     assert {k: sorted(v) for k, v in held.items()} == {(i, j): of[i] if i == j else of[i] + of[j] for i in range(9) for j in range(i, 9)}
+
+
+def test_embedded_chunks_are_those_with_a_vector(spark):
+    from engramlake.plans import views
+
+    sf, shown = "/root/testdata/sf0.01", ["ord", "rel", "start_line", "text", "vector", "label"]
+    got = views.embedded(spark, sf).select(shown)
+    want = views.chunk(spark, sf).where("vector is not null").select(shown)
+    assert got.count() == want.count() == 500 and not got.exceptAll(want).count()
